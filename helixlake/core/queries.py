@@ -1,0 +1,35 @@
+"""Queries of the general data-cleaning operators and the SQL that states the same results."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from helixlake.core import intervals
+from helixlake.runtime import table
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.gaps(table(spark, d, "gtf_features"))
+
+
+def p7_islands(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.islands(table(spark, d, "gtf_features"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_islands)}
+
+_SWEEP = """
+WITH s AS (
+  SELECT seqname, least(start_pos, end_pos) AS lo, greatest(start_pos, end_pos) AS hi
+  FROM gtf_features WHERE seqname IS NOT NULL AND start_pos IS NOT NULL AND end_pos IS NOT NULL
+), w AS (
+  SELECT *, max(hi) OVER (PARTITION BY seqname ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM s
+)"""
+SQL: dict[str, str] = {
+    "p7_found": _SWEEP + " SELECT seqname, prev + 1 AS gap_start, lo - 1 AS gap_end FROM w WHERE lo > prev + 1",
+    "p7_islands": _SWEEP
+    + """, l AS (SELECT *, sum(CASE WHEN prev IS NULL OR lo > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seqname ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM w)
+SELECT seqname, CAST(island AS BIGINT) AS island, min(lo) AS start, max(hi) AS "end", count(*) AS n FROM l GROUP BY seqname, island""",
+}
