@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import fusion, leakage
+from helixlake.llm import abuse, fusion, leakage
 from helixlake.runtime import table
 
 
@@ -26,5 +26,21 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_fused, p8_found, p8_clean)}
+def _mail(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "documents"), table(spark, d, "review_labels"), table(spark, d, "abuse_terms")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(*_mail(spark, d))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.document_scores(*_mail(spark, d))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(*_mail(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_fused, p8_found, p8_clean, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
