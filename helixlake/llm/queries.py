@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import abuse, fusion, leakage
+from helixlake.llm import abuse, fusion, leakage, mixing
 from helixlake.runtime import table
 
 
@@ -26,6 +26,14 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def _mail(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, d, "documents"), table(spark, d, "review_labels"), table(spark, d, "abuse_terms")
 
@@ -42,5 +50,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(*_mail(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_fused, p8_found, p8_clean, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_fused, p8_found, p8_clean, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
