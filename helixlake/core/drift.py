@@ -1,0 +1,180 @@
+"""Problem 5: schemas that drift between the files of a feed.
+
+Each file has a schema version: its fields with their types, and a fingerprint of them.  Successive versions of a feed are compared
+and the difference is a migration step of ``added``, ``removed``, ``retyped`` and ``renamed`` changes.  The renames chain: a field's
+lineage is the component of (file, field) nodes that steps link, and its newest name is the column under which the consistent table
+holds it.  Files are routed through their own rename map, then missing fields default to null, then values are cast to the narrowest
+type that holds every file's.
+
+Only metadata is compared (files times fields).  Records are scanned once for the types of SAM tags, reduced by a partial aggregate,
+so that a file with a third of all records is no hot spot.
+
+Defined cases: null tag lists, null tags and null values carry no field; a tag without a value that is present has type integer, the
+narrowest; two files of a feed written at the same time follow their file ids; a field declared twice in a header counts as first
+declared; two fields of equal description are paired in the order of their names; of a comment that names several removed or several
+added fields only the forms "old, new" next to each other count.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from helixlake.components import connected_components
+from helixlake.runtime import broadcast_if_small, stored
+
+#: Types of SAM values from the narrowest on, with the Spark type of their column.
+RANKS = ["integer", "decimal", "text"]
+CASTS = {"integer": "bigint", "decimal": "double", "text": "string", "Flag": "boolean", "Integer": "bigint", "Float": "double", "Character": "string", "String": "string"}
+#: Bound on the columns of a consistent table.
+MAX_FIELDS = 5000
+#: Words by which a comment says that a field got another name.
+CUE = r"(?i)renam|formerly|previously|in place of|instead of|replac|->|=>|→|old name|new name|used to be|was called|became|now (?:called|appear|written|stored)|supersed"
+
+
+def sam_fields(reads: DataFrame) -> DataFrame:
+    """``(file_id, field, kind)``: tags of each file with the narrowest type of all their values."""
+    tag = F.explode("tags").alias("t")
+    value = F.col("t.value")
+    rank = F.when(value.isNull() | value.rlike(r"^[+-]?[0-9]+$"), 0).when(value.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), 1).otherwise(2)
+    ranked = reads.where("file_id IS NOT NULL").select("file_id", tag).where("t.tag IS NOT NULL").select("file_id", F.col("t.tag").alias("field"), rank.alias("rank"))
+    return ranked.groupBy("file_id", "field").agg(F.max("rank").alias("rank")).select("file_id", "field", F.element_at(F.array(*map(F.lit, RANKS)), F.col("rank") + 1).alias("kind"))
+
+
+def vcf_fields(headers: DataFrame) -> DataFrame:
+    """``(file_id, field, kind, description)``: INFO declarations of each file; description in lower case with single blanks."""
+    part = lambda pattern: F.regexp_extract("line", pattern, 1)
+    declared = headers.where("file_id IS NOT NULL AND line LIKE '##INFO=<%'").select(
+        "file_id",
+        "line_no",
+        part(r"[<,]ID=([^,>]+)").alias("field"),
+        F.concat_ws(" ", part(r"[<,]Number=([^,>]+)"), part(r"[<,]Type=([^,>]+)")).alias("kind"),
+        F.lower(F.trim(F.regexp_replace(part(r'[<,]Description="((?:[^"\\]|\\.)*)"'), r"\s+", " "))).alias("description"),
+    )
+    first = F.min_by(F.struct("kind", "description"), F.struct(F.coalesce("line_no", F.lit(2**31 - 1)), "kind", "description")).alias("d")
+    return declared.where("field <> ''").groupBy("file_id", "field").agg(first).select("file_id", "field", "d.kind", "d.description")
+
+
+def versions(source_files: DataFrame) -> DataFrame:
+    """``(file_id, feed, file_format, version, previous)``: files of a feed in the order of writing, from 1."""
+    order = Window.partitionBy("feed", "file_format").orderBy("written_at", "file_id")
+    files = source_files.where("upper(file_format) IN ('SAM', 'VCF') AND feed IS NOT NULL AND written_at IS NOT NULL AND file_id IS NOT NULL")
+    files = files.select("file_id", "feed", F.upper("file_format").alias("file_format"), "written_at")
+    return files.select("file_id", "feed", "file_format", F.row_number().over(order).alias("version"), F.lag("file_id").over(order).alias("previous"))
+
+
+def _fields(reads: DataFrame, headers: DataFrame, files: DataFrame) -> DataFrame:
+    sam = sam_fields(reads).withColumn("description", F.lit(None).cast("string"))
+    formats = files.select("file_id", "file_format")
+    return (
+        sam.withColumn("format", F.lit("SAM"))
+        .unionByName(vcf_fields(headers).withColumn("format", F.lit("VCF")))
+        .join(formats, "file_id")
+        .where("format = file_format")
+        .select("file_id", "field", "kind", "description")
+    )
+
+
+def _comment_renames(headers: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """``(file_id, old, new)`` that a comment line of the later file states."""
+    lines = headers.where("line IS NOT NULL AND file_id IS NOT NULL").where(~F.col("line").rlike(r"^##(?:INFO|FORMAT|FILTER|contig|fileformat)=|^@(?:HD|SQ|RG|PG)\t|^#CHROM\b") & F.col("line").rlike(CUE))
+    lines = lines.select("file_id", "line", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no", "line")).alias("at"))
+    words = lines.select("file_id", "at", F.posexplode(F.regexp_extract_all("line", F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), F.lit(0))).alias("pos", "field"))
+    named = words.join(gone.select("file_id", "field", F.lit(True).alias("gone")).unionByName(new.select("file_id", "field", F.lit(False).alias("gone"))), ["file_id", "field"])
+    after = Window.partitionBy("file_id", "at").orderBy("pos")
+    # Neighbours among the names of the line, one of each sort; a line with one pair is the common case.
+    paired = named.withColumn("next", F.lead("field").over(after)).withColumn("next_gone", F.lead("gone").over(after)).withColumn("k", F.row_number().over(after))
+    paired = paired.where("next IS NOT NULL AND gone <> next_gone AND k % 2 = 1")
+    return paired.select("file_id", F.when(F.col("gone"), F.col("field")).otherwise(F.col("next")).alias("old"), F.when(F.col("gone"), F.col("next")).otherwise(F.col("field")).alias("new"))
+
+
+def _compare(reads: DataFrame, headers: DataFrame, source_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions, fields, and the changes with the old name of each."""
+    files = stored(versions(source_files))
+    fields = stored(_fields(reads, headers, files))
+    steps = files.where("previous IS NOT NULL").select("file_id", "previous")
+    now = steps.join(fields, "file_id").select("file_id", "field", "kind", "description")
+    was = steps.join(fields.withColumnRenamed("file_id", "previous"), "previous").select("file_id", "field", F.col("kind").alias("old_kind"), F.col("description").alias("old_description"))
+    both = stored(now.join(was, ["file_id", "field"], "full"))
+    new = both.where("old_kind IS NULL").select("file_id", "field", "description")
+    gone = both.where("kind IS NULL").select("file_id", "field", F.col("old_description").alias("description"))
+    nth = Window.partitionBy("file_id", "description").orderBy("field")
+    matched = lambda side, name: side.where("description <> ''").withColumn("n", F.row_number().over(nth)).withColumnRenamed("field", name)
+    renames = matched(gone, "old").join(matched(new, "new"), ["file_id", "description", "n"]).select("file_id", "old", "new").unionByName(_comment_renames(headers, gone, new))
+    # A name takes part in one rename only.
+    renames = renames.groupBy("file_id", "old").agg(F.min("new").alias("new")).groupBy("file_id", "new").agg(F.min("old").alias("old"))
+    renames = stored(renames.select("file_id", "old", "new"))
+    plain = both.select("file_id", "field", F.when(F.col("old_kind").isNull(), "added").when(F.col("kind").isNull(), "removed").when(F.col("kind") != F.col("old_kind"), "retyped").alias("change_kind")).where("change_kind IS NOT NULL")
+    used = renames.select("file_id", F.explode(F.array("old", "new")).alias("field"))
+    changes = plain.join(used, ["file_id", "field"], "left_anti").withColumn("old_name", F.lit(None).cast("string"))
+    changes = changes.unionByName(renames.select("file_id", F.col("new").alias("field"), F.lit("renamed").alias("change_kind"), F.col("old").alias("old_name")))
+    return files, fields, changes
+
+
+def changes(reads: DataFrame, headers: DataFrame, source_files: DataFrame) -> DataFrame:
+    """``(file_id, field_name, change_kind, old_name)``; ``old_name`` of renames only."""
+    return _compare(reads, headers, source_files)[2].withColumnRenamed("field", "field_name")
+
+
+def fingerprints(reads: DataFrame, headers: DataFrame, source_files: DataFrame) -> DataFrame:
+    """``(file_id, feed, file_format, version, n_fields, fingerprint, n_changes)`` of every file; equal schemas have equal fingerprints."""
+    files, fields, diff = _compare(reads, headers, source_files)
+    schema = fields.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_fields"), F.hex(F.sum(F.xxhash64("field", "kind") % (1 << 40))).alias("fingerprint"))
+    n = diff.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_changes"))
+    return files.drop("previous").join(schema, "file_id", "left").join(n, "file_id", "left").fillna({"n_fields": 0, "n_changes": 0, "fingerprint": "0"})
+
+
+def lineage(reads: DataFrame, headers: DataFrame, source_files: DataFrame) -> DataFrame:
+    """``(file_id, field, kind, column, file_format)``: the newest name of every file's field."""
+    files, fields, diff = _compare(reads, headers, source_files)
+    node = lambda file, field: F.concat_ws("\t", F.col(file).cast("string"), F.col(field))
+    steps = files.where("previous IS NOT NULL").select("file_id", "previous")
+    same = steps.join(fields, "file_id").join(fields.select(F.col("file_id").alias("previous"), "field"), ["previous", "field"])
+    moved = diff.where("change_kind = 'renamed'").join(steps, "file_id")
+    edges = same.select(node("previous", "field").alias("a"), node("file_id", "field").alias("b")).unionByName(moved.select(node("previous", "old_name").alias("a"), node("file_id", "field").alias("b")))
+    roots = connected_components(edges)
+    placed = fields.join(files.select("file_id", "file_format", "version"), "file_id").withColumn("node", node("file_id", "field")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    newest = placed.groupBy("root").agg(F.max_by("field", F.struct("version", "field")).alias("column"))
+    return placed.join(newest, "root").select("file_id", "field", "kind", "column", "file_format")
+
+
+def _routed(records: DataFrame, keys: Column, values: Column, lines: DataFrame, ids: list[str]) -> DataFrame:
+    """Records as one wide table: rename by the file's map, default to null, cast to the column's type."""
+    catalog = lines.groupBy("column").agg(F.collect_set("kind").alias("kinds")).orderBy("column").limit(MAX_FIELDS + 1).collect()
+    if len(catalog) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} fields")
+    renamed = lines.where("field <> column").groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("field", "column"))).alias("names"))
+    routed = records.join(broadcast_if_small(renamed), "file_id", "left")
+    names = F.transform(keys, lambda k: F.coalesce(F.element_at("names", k), k))
+    routed = routed.select(*ids, names.alias("k"), values.alias("v"))
+    columns = []
+    taken = {i.lower() for i in ids}
+    for r in catalog:
+        kinds = {k.split(" ")[-1] for k in r["kinds"]}
+        single = all(k.split(" ")[0] in ("0", "1") or " " not in k for k in r["kinds"])
+        order = ["Flag", "Integer", "Float", *RANKS]
+        target = CASTS[max(kinds, key=order.index)] if single and kinds <= set(order) and ("Flag" not in kinds or kinds == {"Flag"}) else "string"
+        name = r["column"]
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        at = F.array_position("k", F.lit(r["column"]))
+        columns.append(F.when(at > 0, F.get("v", (at - 1).cast("int"))).try_cast(target).alias(name))
+    return routed.select(*ids, *columns)
+
+
+def sam_table(reads: DataFrame, headers: DataFrame, source_files: DataFrame) -> DataFrame:
+    """``read_id``, ``file_id`` and one typed column per tag of any file, under its newest name."""
+    lines = stored(lineage(reads, headers, source_files).where("file_format = 'SAM'"))
+    tags = F.coalesce(F.col("tags"), F.array().cast("array<struct<tag:string,value:string>>"))
+    return _routed(reads, F.transform(tags, lambda t: t["tag"]), F.transform(tags, lambda t: t["value"]), lines, ["read_id", "file_id"])
+
+
+def vcf_table(variants: DataFrame, reads: DataFrame, headers: DataFrame, source_files: DataFrame) -> DataFrame:
+    """``variant_id``, ``file_id`` and one typed column per INFO field of any file; a flag that stands without a value is true."""
+    lines = stored(lineage(reads, headers, source_files).where("file_format = 'VCF'"))
+    items = F.split(F.coalesce(F.col("info"), F.lit("")), ";")
+    keys = F.transform(items, lambda x: F.substring_index(x, "=", 1))
+    values = F.transform(items, lambda x: F.when(F.contains(x, F.lit("=")), F.substr(x, F.instr(x, "=") + 1)).otherwise("true"))
+    return _routed(variants, keys, values, lines, ["variant_id", "file_id"])

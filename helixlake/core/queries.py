@@ -6,10 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.core import intervals
+from helixlake.core import drift, intervals
 from helixlake.runtime import table
 
 
+def _drift(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "reads"), table(spark, d, "file_headers"), table(spark, d, "source_files")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(*_drift(spark, d)).select("file_id", "field_name", "change_kind")
+
+
+def p5_versions(spark: SparkSession, d: str) -> DataFrame:
+    return drift.fingerprints(*_drift(spark, d))
+
+
+def p5_sam_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.sam_table(*_drift(spark, d))
+
+
+def p5_vcf_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.vcf_table(table(spark, d, "variants"), *_drift(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.gaps(table(spark, d, "gtf_features"))
 
@@ -18,7 +38,7 @@ def p7_islands(spark: SparkSession, d: str) -> DataFrame:
     return intervals.islands(table(spark, d, "gtf_features"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_islands)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_versions, p5_sam_table, p5_vcf_table, p7_found, p7_islands)}
 
 _SWEEP = """
 WITH s AS (
