@@ -5,11 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixlake.core import drift, intervals
+from helixlake.core import drift, gtf_grammar, intervals, nested
 from helixlake.runtime import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.ion_params(table(spark, d, "spectra")).select("spectrum_key", "precursor_ix", "ion_ix", "param_ix")
+
+
+def p4_ion_params(spark: SparkSession, d: str) -> DataFrame:
+    return nested.ion_params(table(spark, d, "spectra"))
+
+
+def p4_ions(spark: SparkSession, d: str) -> DataFrame:
+    return nested.ions(table(spark, d, "spectra"))
+
+
+def p4_precursors(spark: SparkSession, d: str) -> DataFrame:
+    return nested.precursors(table(spark, d, "spectra"))
+
+
+def p4_isolation_windows(spark: SparkSession, d: str) -> DataFrame:
+    return nested.precursor_params(table(spark, d, "spectra"), "isolation_window")
+
+
+def p4_activations(spark: SparkSession, d: str) -> DataFrame:
+    return nested.precursor_params(table(spark, d, "spectra"), "activation")
+
+
+def p4_params(spark: SparkSession, d: str) -> DataFrame:
+    return nested.params(table(spark, d, "spectra"))
+
+
+def p4_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return nested.peaks(table(spark, d, "spectra"))
+
+
+def p4_spectra(spark: SparkSession, d: str) -> DataFrame:
+    return nested.spectra_table(table(spark, d, "spectra"))
+
+
 def _drift(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, d, "reads"), table(spark, d, "file_headers"), table(spark, d, "source_files")
 
@@ -30,6 +67,19 @@ def p5_vcf_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.vcf_table(table(spark, d, "variants"), *_drift(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    first = gtf_grammar.faults(table(spark, d, "gtf_lines")).groupBy("line_id").agg(F.min_by("reason", "record_no").alias("reason"))
+    return first
+
+
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    return gtf_grammar.records(table(spark, d, "gtf_lines"))
+
+
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    return gtf_grammar.faults(table(spark, d, "gtf_lines"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.gaps(table(spark, d, "gtf_features"))
 
@@ -38,7 +88,13 @@ def p7_islands(spark: SparkSession, d: str) -> DataFrame:
     return intervals.islands(table(spark, d, "gtf_features"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_versions, p5_sam_table, p5_vcf_table, p7_found, p7_islands)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        p4_found, p4_ion_params, p4_ions, p4_precursors, p4_isolation_windows, p4_activations, p4_params, p4_peaks, p4_spectra,
+        p5_found, p5_versions, p5_sam_table, p5_vcf_table, p6_found, p6_records, p6_faults, p7_found, p7_islands,
+    )
+}
 
 _SWEEP = """
 WITH s AS (
