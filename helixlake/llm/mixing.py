@@ -8,8 +8,8 @@ budget keeps every document of a smaller one.
 The mix is as large as the scarcest source allows (or ``budget`` tokens, if that is less); a source with quota q and t tokens uses
 each document floor(q / t) times and those below the threshold once more, so never more than ``max_repeats`` times.
 
-Null texts have no tokens.  Documents of a null source or of one without a target, and targets of a share or repeat count that is
-null or not positive, are left out; a target whose source has no tokens is reported with share 0 and doesn't bound the mix.  Ties of
+Null texts have no tokens.  Documents of a null source or of one without a target get 0 copies; targets of a share or repeat count
+that is null or not positive are left out; a target whose source has no tokens is reported with share 0 and doesn't bound the mix.  Ties of
 the hash are used alike.  If ids repeat, their rows are documents of their own.
 """
 
@@ -47,7 +47,7 @@ def encoding(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, source, n_tokens)`` of every document with a source."""
+    """``(doc_id, source, n_tokens)`` of every document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(tokenizer).encode_ordinary
@@ -55,7 +55,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long"), "source", "text").where("source IS NOT NULL").mapInArrow(count, "doc_id long, source string, n_tokens long")
+    return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(count, "doc_id long, source string, n_tokens long")
 
 
 def _quotas(targets: DataFrame, totals: dict[str, int], budget: float | None) -> dict[str, tuple[float, int, int, float]]:
@@ -74,16 +74,16 @@ def _quotas(targets: DataFrame, totals: dict[str, int], budget: float | None) ->
 
 
 def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, tokenizer: str = TOKENIZER, seed: int = 0) -> DataFrame:
-    """``(doc_id, source, n_tokens, copies)`` of every document that the mix uses."""
+    """``(doc_id, source, n_tokens, copies)``: how often the mix uses each document, 0 for those it leaves out."""
     return _mixed(documents, targets, budget, tokenizer, seed)[0]
 
 
 def _mixed(documents: DataFrame, targets: DataFrame, budget: float | None, tokenizer: str, seed: int) -> tuple[DataFrame, dict, dict]:
     spark: SparkSession = documents.sparkSession
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source")), 64 - BITS * LEVELS)
-    wanted = targets.select("source").where("source IS NOT NULL").distinct()
-    counts = stored(token_counts(documents.join(F.broadcast(wanted.limit(MAX_TARGETS + 1)), "source", "left_semi"), tokenizer).withColumn("h", hashed))
-    totals = {r["source"]: r["t"] for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    counts = stored(token_counts(documents, tokenizer).withColumn("h", hashed))
+    wanted = F.broadcast(targets.select("source").where("source IS NOT NULL").distinct().limit(MAX_TARGETS + 1))
+    totals = {r["source"]: r["t"] for r in counts.join(wanted, "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     quotas = _quotas(targets, totals, budget)
     #: Per source the hash prefix of the boundary bucket and the tokens still to be placed.
     edge = {s: (0, q[3]) for s, q in quotas.items() if q[3] > 0}
@@ -108,7 +108,7 @@ def _mixed(documents: DataFrame, targets: DataFrame, budget: float | None, token
             edge[s] = (at, left)
     plan = [(s, q[2], edge[s][0] if s in edge else 0) for s, q in quotas.items()]
     uses = F.broadcast(spark.createDataFrame(plan, "source string, whole int, below long"))
-    used = counts.join(uses, "source").withColumn("copies", F.col("whole") + (F.col("h") < F.col("below")).cast("int")).where("copies > 0")
+    used = counts.join(uses, "source", "left").withColumn("copies", F.coalesce(F.col("whole") + (F.col("h") < F.col("below")).cast("int"), F.lit(0)))
     return used.select("doc_id", "source", "n_tokens", "copies"), quotas, totals
 
 
@@ -118,7 +118,7 @@ def shares(documents: DataFrame, targets: DataFrame, budget: float | None = None
     spark = documents.sparkSession
     rows = [(s, q[0], q[1], int(totals.get(s) or 0)) for s, q in quotas.items()]
     base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens_available long")
-    got = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_copies"))
+    got = used.where("copies > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_copies"))
     all_used = used.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all_used"))
     return base.join(got, "source", "left").crossJoin(F.broadcast(all_used)).select(
         "source", "target_share", "max_repeats", "tokens_available",

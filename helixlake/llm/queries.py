@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import abuse, fusion, leakage, mixing
+from helixlake.llm import abuse, fusion, leakage, mixing, splitting
 from helixlake.runtime import table
 
 
@@ -18,6 +18,14 @@ def p2_fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(table(spark, d, "reads"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.found_gaps(table(spark, d, "contigs"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(table(spark, d, "contigs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -50,5 +58,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(*_mail(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_fused, p8_found, p8_clean, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_fused, p3_found, p3_pieces, p8_found, p8_clean, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
