@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.core import queries as core_queries
+from helixlake.operators import queries as operator_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core_queries.QUERIES}
-SQL: dict[str, str] = {**core_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**operator_queries.QUERIES}
+SQL: dict[str, str] = {**operator_queries.SQL}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from helixlake.components import connected_components
+from helixlake.operators.components import connected_components
 from helixlake.runtime import broadcast_if_small, stored
 
 #: Types of SAM values from the narrowest on, with the Spark type of their column.

@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.core import drift, gtf_grammar, intervals, nested
+from helixlake.operators import drift, gtf_grammar, intervals, nested, units
 from helixlake.runtime import table
 
 
+def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "cv_params"), table(spark, d, "ms_runs"), table(spark, d, "unit_targets")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.found(*_units(spark, d))
+
+
+def p1_converted(spark: SparkSession, d: str) -> DataFrame:
+    return units.decode(*_units(spark, d))
+
+
+def p1_switches(spark: SparkSession, d: str) -> DataFrame:
+    return units.switches(*_units(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.ion_params(table(spark, d, "spectra")).select("spectrum_key", "precursor_ix", "ion_ix", "param_ix")
 
@@ -91,7 +107,7 @@ def p7_islands(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p4_found, p4_ion_params, p4_ions, p4_precursors, p4_isolation_windows, p4_activations, p4_params, p4_peaks, p4_spectra,
+        p1_found, p1_converted, p1_switches, p4_found, p4_ion_params, p4_ions, p4_precursors, p4_isolation_windows, p4_activations, p4_params, p4_peaks, p4_spectra,
         p5_found, p5_versions, p5_sam_table, p5_vcf_table, p6_found, p6_records, p6_faults, p7_found, p7_islands,
     )
 }
