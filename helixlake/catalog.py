@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from helixlake.operators import queries as operator_queries
+from helixlake.plans import relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**operator_queries.QUERIES}
-SQL: dict[str, str] = {**operator_queries.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**operator_queries.QUERIES, **relational.QUERIES}
+SQL: dict[str, str] = {**operator_queries.SQL, **relational.SQL}
