@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-_REGION = re.compile(r"^(?P<name>[^:]+|.+?)(?::(?P<start>[\d,]+)(?:-(?P<end>[\d,]+)?)?)?$")
+_REGION = re.compile(r"^(?P<name>[^:].*?)(?::(?P<start>[\d,]+)(?:-(?P<end>[\d,]+)?)?)?$")
 _INTERVAL = re.compile(r"^(?P<start>\d+)?(?:-(?P<end>\d+)?)?$")
 
 

@@ -56,7 +56,7 @@ class Format:
     ddl = ""
 
     def schema(self, found: list[files.Found], options: dict) -> T.StructType:
-        return T.StructType.fromDDL(self.ddl)
+        return schemas.struct(self.ddl)
 
     def parts(self, f: files.Found, region: Region | None, options: dict) -> list[tuple]:
         return [()]
@@ -72,7 +72,7 @@ class Format:
 
     def full(self, part: Part, options: dict, schema: T.StructType) -> list[str]:
         """Names of the columns that ``rows`` gives."""
-        return T.StructType.fromDDL(self.ddl).names
+        return schemas.struct(self.ddl).names
 
 
 class Fastq(Format):
@@ -144,7 +144,7 @@ class Alignments(Format):
     name, name_column, span, ddl = "bam", "reference", ("start", "end"), schemas.ALIGNMENT
 
     def schema(self, found: list[files.Found], options: dict) -> T.StructType:
-        base = T.StructType.fromDDL(schemas.ALIGNMENT)
+        base = schemas.struct(schemas.ALIGNMENT)
         if not _flag(options, "parsetags"):
             return base
         kinds: dict[str, T.DataType] = {}
@@ -165,7 +165,7 @@ class Alignments(Format):
         from helixlake.sources.text import _ARRAY_TYPES
 
         if kind[0] == "B":
-            return T.ArrayType(T.DataType.fromDDL(_ARRAY_TYPES[kind[1]]))
+            return T.ArrayType(schemas.data_type(_ARRAY_TYPES[kind[1]]))
         return {"i": T.IntegerType(), "f": T.FloatType()}.get(kind, T.StringType())
 
     @staticmethod
@@ -232,7 +232,7 @@ class Variants(Format):
 
     def schema(self, found: list[files.Found], options: dict) -> T.StructType:
         header = self.header(found[0].path)
-        base = T.StructType.fromDDL(schemas.VCF)
+        base = schemas.struct(schemas.VCF)
         typed = lambda fields: T.StructType([T.StructField(n, _declared(k, t)) for n, k, t in fields])
         return T.StructType([*base.fields[:7], T.StructField("info", typed(header.info)), T.StructField("formats", T.ArrayType(typed(header.format)))])
 

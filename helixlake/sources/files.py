@@ -25,7 +25,7 @@ class Found(NamedTuple):
 
 def system(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of ``path``: a plain path, ``file:``, ``s3://``, ``s3a://`` or ``gs://``."""
-    scheme = urlparse(path).scheme
+    scheme = urlparse(path).scheme if "://" in path or path.startswith("file:") else ""
     if scheme in ("", "file"):
         return fs.LocalFileSystem(), unquote(urlparse(path).path) if scheme else path
     return fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import types as T
+
 FASTA = "id string, description string, sequence string"
 FASTQ = "name string, description string, sequence string, quality_scores string"
 GFF = "seqname string, source string, type string, start bigint, `end` bigint, score float, strand string, phase string, attributes map<string,array<string>>"
@@ -55,3 +57,38 @@ def infer_type(path: str) -> tuple[str, str | None]:
         if not kind.startswith("indexed") and any(low.endswith(e) for e in endings):
             return kind, compression
     raise ValueError(f"no file type for {path}")
+
+
+_ATOMS = {
+    "string": T.StringType, "tinyint": T.ByteType, "smallint": T.ShortType, "int": T.IntegerType, "bigint": T.LongType, "float": T.FloatType, "double": T.DoubleType, "boolean": T.BooleanType,
+}
+
+
+def _cut(text: str) -> list[str]:
+    """Parts between the commas that stand outside of angle brackets."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(text):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and depth == 0:
+            out.append(text[start:i])
+            start = i + 1
+    return [p.strip() for p in [*out, text[start:]]]
+
+
+def data_type(text: str) -> T.DataType:
+    """A type of the DDL above; unlike Spark's parser it works where there is no session, as in a source's worker."""
+    text = text.strip()
+    kind, inner = text.split("<", 1) if "<" in text else (text, "")
+    inner = inner.removesuffix(">")
+    if kind == "array":
+        return T.ArrayType(data_type(inner))
+    if kind == "map":
+        return T.MapType(*map(data_type, _cut(inner)))
+    if kind == "struct":
+        return T.StructType([T.StructField(n.strip().strip("`"), data_type(t)) for n, t in (f.split(":", 1) for f in _cut(inner))])
+    return _ATOMS[kind]()
+
+
+def struct(ddl: str) -> T.StructType:
+    """The schema that a list of ``name type`` describes."""
+    return T.StructType([T.StructField(n.strip("`"), data_type(t)) for n, t in (f.split(" ", 1) for f in _cut(ddl))])

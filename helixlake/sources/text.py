@@ -242,7 +242,7 @@ def tag_struct(tags: Column, fields: list[tuple[str, str]]) -> Column:
     for name, kind in fields:
         at = F.array_position(names, F.lit(name))
         text = F.when(at > 0, F.get(tags, (at - 1).cast("int"))["value"])
-        typed = F.transform(F.split(text, r",\s*"), lambda x, k=kind: x.try_cast(k[6:-1])) if kind.startswith("array") else text.try_cast(kind)
+        typed = F.split(text, r",\s*").try_cast(kind) if kind.startswith("array") else text.try_cast(kind)
         out.append(typed.alias(name))
     return F.struct(*out)
 
