@@ -145,9 +145,8 @@ def _routed(records: DataFrame, keys: Column, values: Column, lines: DataFrame,
     if len(catalog) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields")
     renamed = lines.where("field <> column").groupBy("file_id").agg(F.map_from_entries(F.collect_set(F.struct("field", "column"))).alias("names"))
-    routed = records.join(broadcast_if_small(renamed), "file_id", "left")
-    names = F.transform(keys, lambda k: F.coalesce(F.element_at("names", k), k))
-    routed = routed.select(*ids, names.alias("k"), values.alias("v"))
+    routed = records.select(*ids, keys.alias("k"), values.alias("v")).join(broadcast_if_small(renamed), "file_id", "left")
+    routed = routed.select(*ids, F.transform("k", lambda k: F.coalesce(F.element_at("names", k), k)).alias("k"), "v")
     columns = []
     taken = {i.lower() for i in ids}
     for r in catalog:
