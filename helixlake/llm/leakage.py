@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from helixlake.llm import mail
 
@@ -136,7 +137,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
                 out += [(doc, item, *s) for item, s in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["doc_id", "item_id", "words", "longest"])
 
-    return documents.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, words long, longest long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "doc_id long, item_id long, words long, longest long")
 
 
 def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, max_coverage: float = MAX_COVERAGE) -> DataFrame:
@@ -156,12 +157,11 @@ def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
                 total = leaked = 0
                 kept: list[str] = []
                 for part in mail.decode(text)[1]:
-                    spots = [m.span() for m in WORD.finditer(part.lower())] if part.isascii() else None
-                    if spots is None:
-                        part = part.lower() if len(part.lower()) != len(part) else part
-                        spots = [m.span() for m in WORD.finditer(part.lower())]
-                    total += len(spots)
                     low, at = part.lower(), 0
+                    if len(low) != len(part):  # a few letters have a longer lower case: the text is cut in that form
+                        part = low
+                    spots = [m.span() for m in WORD.finditer(low)]
+                    total += len(spots)
                     spans: list[list[int]] = []
                     for end, n, _ in automaton.matches([low[a:b] for a, b in spots]):
                         if spans and end - n <= spans[-1][1]:
@@ -178,4 +178,4 @@ def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
                 out.append((doc, total, leaked, share, drop, None if drop or text is None else "".join(kept)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_leaked long, coverage double, dropped boolean, text string")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_leaked long, coverage double, dropped boolean, text string")

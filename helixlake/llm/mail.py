@@ -12,7 +12,7 @@ import re
 
 _HEADER_END = re.compile(r"\r?\n\r?\n")
 _UNFOLD = re.compile(r"\r?\n[ \t]+")
-_HEADER = re.compile(r"^([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*)$", re.M)
+_HEADER = re.compile(r"^([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*?)[ \t\r]*$", re.M)
 _BOUNDARY = re.compile(r'boundary="?([^"\r\n;]+)"?', re.I)
 _CHARSET = re.compile(r'charset="?([A-Za-z0-9_.:-]+)"?', re.I)
 _ENCODED_WORD = re.compile(r"=\?([^?\s]+)\?([bBqQ])\?([^?]*)\?=(?:\s+(?==\?))?")
