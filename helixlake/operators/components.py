@@ -18,6 +18,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
+        if _settled(e):
+            break
         # Large star: every larger neighbour of u is linked to u's least neighbour.
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -25,13 +27,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # Small star: every smaller neighbour of u, and u, is linked to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        # Stable once each node has one link, to a node that has none.
-        change = new.exceptAll(e).limit(1).count() + e.exceptAll(new).limit(1).count()
-        e = new
-        if not change:
-            break
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("connected components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether the links are stars: each node has one link, to a node that has none.  The rounds keep components together, so stars are
+    components."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 OR out > 0 AND into > 0").isEmpty()

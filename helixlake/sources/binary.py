@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from pyspark.sql import types as T
 
 from helixlake.plans.region import Interval, Region
-from helixlake.sources import bam, bcf, bgzf, bigwig, fcs, files, schemas
+from helixlake.sources import bam, bcf, bgzf, bigwig, cram, fcs, files, schemas
 
 ROWS = 8192
 #: Compressed bytes, or bytes of plain text, of one partition.
@@ -221,6 +221,36 @@ class IndexedAlignments(Alignments):
     name = "indexed_bam"
 
 
+class Cram(Alignments):
+    """CRAM; with a ``.crai`` beside it containers are split over tasks and chosen by region.  Option ``reference``: a FASTA file."""
+
+    name = "cram"
+
+    def first_tags(self, path: str, options: dict) -> list[tuple[str, str, str]]:
+        with files.open_raw(path) as raw:
+            header = cram.read_header(raw)
+            reference = cram.Reference(options.get("reference"))
+            return next((r[-1] for c in cram.containers(raw, header.first) for r in cram.container_records(raw, c, header, reference)), [])
+
+    def parts(self, f: files.Found, region: Region | None, options: dict) -> list[tuple]:
+        if not files.exists(f.path + ".crai"):
+            return [(None,)]
+        slices = cram.read_crai(f.path + ".crai")
+        if region is not None:
+            with files.open_raw(f.path) as raw:
+                names = cram.read_header(raw).names
+            # Slices of several references (-2) may hold any.
+            slices = [x for x in slices if x[0] == -2 or 0 <= x[0] < len(names) and names[x[0]] == region.name and region.interval.overlaps(x[1], x[1] + max(x[2], 1) - 1)]
+        return [(offset,) for offset in sorted({x[3] for x in slices})]
+
+    def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:
+        with files.open_raw(part.path) as raw:
+            header, reference = cram.read_header(raw), cram.Reference(options.get("reference"))
+            (at,) = part.what
+            found = cram.containers(raw, header.first) if at is None else [cram.read_container(raw, at)]
+            yield from self.shaped((r for c in found for r in cram.container_records(raw, c, header, reference)), schema)
+
+
 class Variants(Format):
     """BCF; ``info`` and ``formats`` are typed by the first file's header."""
 
@@ -425,7 +455,7 @@ class IndexedFasta(Format):
         yield text, None, files.read_range(part.path, start, end).translate(None, b"\r\n ").decode()
 
 
-FORMATS: list[type[Format]] = [Fastq, Alignments, IndexedAlignments, Variants, IndexedVcf, IndexedGff, BigwigValue, BigwigZoom, Cytometry, IndexedFasta]
+FORMATS: list[type[Format]] = [Fastq, Alignments, IndexedAlignments, Cram, Variants, IndexedVcf, IndexedGff, BigwigValue, BigwigZoom, Cytometry, IndexedFasta]
 
 
 class Reader(DataSourceReader):
