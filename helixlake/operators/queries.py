@@ -119,7 +119,55 @@ WITH s AS (
 ), w AS (
   SELECT *, max(hi) OVER (PARTITION BY seqname ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM s
 )"""
+_LIST = "CASE json_type({x}) WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'OBJECT' THEN [{x}] ELSE CAST([] AS JSON[]) END"
+_LEVELS = f"""
+WITH j AS (SELECT spectrum_key, CASE WHEN precursors IS NOT NULL THEN to_json(precursors) ELSE TRY_CAST(precursor_json AS JSON) END AS x FROM spectra),
+k AS (SELECT spectrum_key, CASE WHEN json_exists(x, '$.precursor_list') THEN json_extract(x, '$.precursor_list.precursors') ELSE x END AS x FROM j),
+pl AS (SELECT spectrum_key, {_LIST.format(x='x')} AS l FROM k),
+p AS (SELECT spectrum_key, generate_subscripts(l, 1) - 1 AS precursor_ix, unnest(l) AS p FROM pl),
+il AS (SELECT spectrum_key, precursor_ix, {_LIST.format(x="json_extract(p, '$.selected_ions')")} AS l FROM p WHERE json_type(p) = 'OBJECT'),
+i AS (SELECT spectrum_key, precursor_ix, generate_subscripts(l, 1) - 1 AS ion_ix, unnest(l) AS i FROM il),
+cl AS (SELECT spectrum_key, precursor_ix, ion_ix, {_LIST.format(x="json_extract(i, '$.cv_params')")} AS l FROM i WHERE json_type(i) = 'OBJECT'),
+c AS (SELECT spectrum_key, precursor_ix, ion_ix, generate_subscripts(l, 1) - 1 AS param_ix, unnest(l) AS c FROM cl)"""
+_KEYS = "spectrum_key, CAST(precursor_ix AS INTEGER) AS precursor_ix, CAST(ion_ix AS INTEGER) AS ion_ix, CAST(param_ix AS INTEGER) AS param_ix"
+_PAIR = r'[^ ";]+ +("[^"]*"|[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?) *'
+_GTF = f"""
+WITH l AS (SELECT line_id, string_split(regexp_replace(line, '[ \\r]+$', ''), chr(9)) AS f FROM gtf_lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' AND line NOT LIKE '#%'),
+r AS (SELECT line_id, CASE WHEN len(f) <> 9 THEN 'columns'
+  WHEN NOT regexp_full_match(f[9], ' *{_PAIR}(; *{_PAIR})*(; *)?') THEN 'quoting'
+  WHEN NOT (f[6] = '.' OR regexp_full_match(f[6], '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(f[6] AS DOUBLE)), false)) OR f[8] NOT IN ('.', '0', '1', '2')
+    OR NOT regexp_full_match(f[4], '[0-9]+') OR NOT regexp_full_match(f[5], '[0-9]+') OR CAST(f[4] AS BIGINT) < 1 OR CAST(f[4] AS BIGINT) > CAST(f[5] AS BIGINT) THEN 'value' END AS reason FROM l)"""
+_DRIFT = r"""
+WITH f AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed, file_format ORDER BY written_at, file_id) AS prev FROM source_files WHERE file_format IN ('SAM', 'VCF')),
+t AS (SELECT file_id, unnest(tags) AS t FROM reads),
+a AS (SELECT file_id, t.tag AS field, CAST(max(CASE WHEN regexp_full_match(t.value, '[+-]?[0-9]+') THEN 0 WHEN regexp_full_match(t.value, '[+-]?[0-9]+[.][0-9]+') THEN 1 ELSE 2 END) AS VARCHAR) AS kind, NULL AS d
+    FROM t GROUP BY file_id, t.tag
+  UNION ALL SELECT file_id, regexp_extract(line, '[<,]ID=([^,>]+)', 1), regexp_extract(line, 'Number=([^,>]+)', 1) || ' ' || regexp_extract(line, 'Type=([^,>]+)', 1),
+    lower(trim(regexp_replace(regexp_extract(line, 'Description="([^"]*)"', 1), '\s+', ' ', 'g'))) FROM file_headers WHERE line LIKE '##INFO=<%'),
+n AS (SELECT f.file_id, field, kind, d FROM f JOIN a ON a.file_id = f.file_id WHERE prev IS NOT NULL),
+o AS (SELECT f.file_id, field, kind, d FROM f JOIN a ON a.file_id = f.prev),
+gone AS (SELECT o.* FROM o ANTI JOIN n ON n.file_id = o.file_id AND n.field = o.field),
+new AS (SELECT n.* FROM n ANTI JOIN o ON n.file_id = o.file_id AND n.field = o.field),
+said AS (SELECT file_id, line, string_split_regex(line, '[^A-Za-z0-9_]+') AS w FROM file_headers WHERE line LIKE '@CO%' AND regexp_matches(line, 'renamed|formerly|previously|in place of|->|old name')),
+r AS (SELECT gone.file_id, gone.field AS old, new.field AS new FROM gone JOIN new ON gone.file_id = new.file_id AND gone.d = new.d AND gone.d <> ''
+  UNION SELECT gone.file_id, gone.field, new.field FROM said JOIN gone ON gone.file_id = said.file_id AND list_contains(w, gone.field) JOIN new ON new.file_id = said.file_id AND list_contains(w, new.field))
+SELECT file_id, field AS field_name, 'added' AS change_kind FROM new ANTI JOIN r ON r.file_id = new.file_id AND r.new = new.field
+UNION ALL SELECT file_id, field, 'removed' FROM gone ANTI JOIN r ON r.file_id = gone.file_id AND r.old = gone.field
+UNION ALL SELECT n.file_id, n.field, 'retyped' FROM n JOIN o ON n.file_id = o.file_id AND n.field = o.field WHERE n.kind <> o.kind
+UNION ALL SELECT file_id, new, 'renamed' FROM r"""
 SQL: dict[str, str] = {
+    "p5_found": _DRIFT,
+    "p4_found": f"{_LEVELS} SELECT {_KEYS} FROM c WHERE json_type(c) = 'OBJECT'",
+    "p4_ion_params": f"{_LEVELS} SELECT {_KEYS}, json_extract_string(c, '$.accession') AS accession, json_extract_string(c, '$.name') AS name, json_extract_string(c, '$.value') AS \"value\" FROM c WHERE json_type(c) = 'OBJECT'",
+    "p4_ions": f"{_LEVELS} SELECT spectrum_key, CAST(precursor_ix AS INTEGER) AS precursor_ix, CAST(ion_ix AS INTEGER) AS ion_ix, CAST(len(l) AS INTEGER) AS n_params FROM cl",
+    "p4_precursors": f"""{_LEVELS} SELECT p.spectrum_key, CAST(p.precursor_ix AS INTEGER) AS precursor_ix, json_extract_string(p, '$.spectrum_ref') AS spectrum_ref, CAST(len(il.l) AS INTEGER) AS n_ions
+        FROM p JOIN il ON p.spectrum_key = il.spectrum_key AND p.precursor_ix = il.precursor_ix WHERE json_type(p) = 'OBJECT'""",
+    "p4_params": """SELECT spectrum_key, CAST(ix AS INTEGER) AS param_ix, c.accession AS accession, c.name AS name, c.value AS "value"
+        FROM (SELECT spectrum_key, generate_subscripts(cv_params, 1) - 1 AS ix, unnest(cv_params) AS c FROM spectra) WHERE c IS NOT NULL""",
+    "p4_peaks": """SELECT spectrum_key, CAST(ix AS INTEGER) AS peak_ix, m[ix + 1] AS mz, i[ix + 1] AS intensity FROM (SELECT spectrum_key, mz.mz AS m, intensity.intensity AS i,
+        unnest(range(greatest(coalesce(len(mz.mz), 0), coalesce(len(intensity.intensity), 0)))) AS ix FROM spectra)""",
+    "p4_spectra": """SELECT spectrum_key, run_id, id, precursor_mz, precusor_charge, CAST(greatest(coalesce(len(mz.mz), 0), coalesce(len(intensity.intensity), 0)) AS INTEGER) AS n_peaks, loaded_at FROM spectra""",
+    "p6_found": f"{_GTF} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
     "p7_found": _SWEEP + " SELECT seqname, prev + 1 AS gap_start, lo - 1 AS gap_end FROM w WHERE lo > prev + 1",
     "p7_islands": _SWEEP
     + """, l AS (SELECT *, sum(CASE WHEN prev IS NULL OR lo > prev + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seqname ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM w)

@@ -23,7 +23,6 @@ class GenomicsSession:
         self.settings = dict.fromkeys(_SETTINGS, False)
         ship(spark)
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         register_all(spark)
         binary.register(spark)
 

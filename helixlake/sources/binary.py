@@ -544,6 +544,8 @@ def source_of(fmt: type[Format]) -> type[Source]:
 
 
 def register(spark) -> None:
+    """Register every source; they take part in filter pushdown, which the session must allow."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for f in FORMATS:
         spark.dataSource.register(source_of(f))
 
