@@ -38,12 +38,12 @@ STATEMENTS: dict[str, str] = {
         round(covar_pop(l_quantity, l_discount), 4) AS cv, bool_and(l_quantity > 0) AS all_positive, bool_or(l_discount > 0.05) AS any_discount FROM {lineitem} GROUP BY l_returnflag, l_linestatus""",
     "aggregate_distinct": "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT CAST(ts AS DATE)) AS days FROM {events} GROUP BY event_type",
     "aggregate_filter_having": "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) AS n, round(sum(value) FILTER (WHERE value > 0), 4) AS positive FROM {events} GROUP BY user_id HAVING count(*) > 10",
-    "grouping_sets": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g1, grouping(l_linestatus) AS g2, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS g1, CAST(grouping(l_linestatus) AS BIGINT) AS g2, count(*) AS n FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())",
     "grouping_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
-    "grouping_rollup": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM {orders} GROUP BY ROLLUP (year(o_orderdate), month(o_orderdate))",
+    "grouping_rollup": "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, count(*) AS n FROM {orders} GROUP BY ROLLUP (CAST(year(o_orderdate) AS BIGINT), CAST(month(o_orderdate) AS BIGINT))",
     "median_percentile": "SELECT event_type, round(median(value), 6) AS med FROM {events} GROUP BY event_type",
-    "window_ranks": """SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS rk,
-        dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr, ntile(4) OVER w AS quartile, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd
+    "window_ranks": """SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS rk,
+        CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS BIGINT) AS dr, CAST(ntile(4) OVER w AS BIGINT) AS quartile, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd
         FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
     "window_offsets": """SELECT event_id, lag(event_id) OVER w AS before, lead(event_id, 2) OVER w AS after2, first_value(event_id) OVER w AS first_id,
         last_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id, nth_value(event_id, 3) OVER w AS third
@@ -51,7 +51,7 @@ STATEMENTS: dict[str, str] = {
     "window_frames": """SELECT l_orderkey, l_linenumber, l_partkey, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running,
         round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS moving,
         count(*) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM {lineitem}""",
-    "topk_per_group": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}) t WHERE rn <= 3",
+    "topk_per_group": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn FROM {orders}) t WHERE rn <= 3",
     "sort_limit_offset": "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS LAST LIMIT 100 OFFSET 10",
     "set_union_all": "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}",
     "set_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}",
@@ -65,9 +65,9 @@ STATEMENTS: dict[str, str] = {
         SELECT c.c_custkey, c.c_mktsegment, t.total FROM top t JOIN {customer} c ON c.c_custkey = t.o_custkey""",
     "string_functions": """SELECT c_custkey, upper(c_name) AS up, substr(c_name, 1, 4) AS head, lpad(CAST(c_custkey AS VARCHAR(20)), 10, '0') AS padded, replace(c_mktsegment, 'U', 'u') AS repl,
         regexp_replace(c_name, '[0-9]+', '#') AS masked, concat_ws('-', c_mktsegment, c_name) AS joined, reverse(c_name) AS rev, translate(c_name, 'Cust', 'cUST') AS tr, trim(c_name) AS tm,
-        length(c_mktsegment) AS len, split_part(c_name, '#', 2) AS part2 FROM {customer}""",
+        CAST(length(c_mktsegment) AS BIGINT) AS len, split_part(c_name, '#', 2) AS part2 FROM {customer}""",
     "text_lengths": "SELECT doc_id, length(text) AS chars, octet_length(encode(text, 'utf-8')) AS bytes, length(text) - length(replace(text, ' ', '')) AS blanks FROM {documents}",
-    "date_functions": """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, date_trunc('month', o_orderdate) AS month_start,
+    "date_functions": """SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(quarter(o_orderdate) AS BIGINT) AS q, date_trunc('month', o_orderdate) AS month_start,
         CAST(o_orderdate AS DATE) AS day_only, o_orderdate + INTERVAL '7' DAY AS week_later FROM {orders}""",
     "math_functions": """SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS dist, CAST(floor(l_extendedprice) AS BIGINT) AS fl, CAST(ceil(l_quantity) AS BIGINT) AS ce, round(sqrt(l_quantity), 8) AS root, round(ln(l_quantity + 1), 8) AS logn,
         round(power(l_quantity, 1.5), 6) AS pw, l_orderkey % 7 AS md, greatest(l_quantity, 25.0) AS gr, least(l_quantity, 25.0) AS le, l_orderkey & 15 AS low_bits, CAST(sign(l_discount - 0.05) AS INTEGER) AS sg FROM {lineitem}""",
