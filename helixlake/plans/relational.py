@@ -74,7 +74,7 @@ STATEMENTS: dict[str, str] = {
     "skewed_top_users": "SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
     "values_table": "SELECT a.k, a.v, n.n_name FROM (VALUES (1, 'one'), (2, 'two'), (3, 'three')) AS a(k, v) JOIN {nation} n ON n.n_nationkey = a.k",
     "gff_containment": """SELECT a.feature_id AS outer_id, b.feature_id AS inner_id, a.seqname, a.start_pos, b.start_pos AS inner_start FROM {gtf_features} a JOIN {gtf_features} b
-        ON a.seqname = b.seqname AND a.start_pos <= b.start_pos AND a.end_pos >= b.end_pos WHERE a.feature_type = 'transcript' AND b.feature_type = 'exon'
+        ON a.seqname = b.seqname AND a.start_pos <= b.start_pos AND a.end_pos >= b.end_pos WHERE a.feature_type = 'transcript' AND b.feature_type = 'CDS'
         ORDER BY a.seqname NULLS LAST, a.start_pos NULLS LAST, b.start_pos NULLS LAST, a.feature_id, b.feature_id LIMIT 10""",
 }
 
@@ -104,15 +104,15 @@ def join_strategies(spark: SparkSession, d: str) -> DataFrame:
 
 def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "gtf_features").where("start_pos <= end_pos")
-    exons = f.where("feature_type = 'exon'").select("seqname", "feature_id", "start_pos", "end_pos")
+    spans = f.where("feature_type = 'transcript'").select("seqname", "feature_id", "start_pos", "end_pos")
     cds = f.where("feature_type = 'CDS'").select("seqname", F.col("feature_id").alias("cds_id"), F.col("start_pos").alias("cds_start"), F.col("end_pos").alias("cds_end"))
-    return joins.interval_join(exons, cds, "seqname", ("start_pos", "end_pos"), ("cds_start", "cds_end")).select("seqname", "feature_id", "cds_id")
+    return joins.interval_join(spans, cds, "seqname", ("start_pos", "end_pos"), ("cds_start", "cds_end")).select("seqname", "feature_id", "cds_id")
 
 
 def interval_containment_join(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "gtf_features").where("start_pos <= end_pos")
     outer = f.where("feature_type = 'transcript'").select("seqname", F.col("feature_id").alias("outer_id"), "start_pos", "end_pos")
-    inner = f.where("feature_type = 'exon'").select("seqname", F.col("feature_id").alias("inner_id"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
+    inner = f.where("feature_type = 'CDS'").select("seqname", F.col("feature_id").alias("inner_id"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"))
     return joins.interval_join(outer, inner, "seqname", ("start_pos", "end_pos"), ("s", "e"), mode="contains").select("seqname", "outer_id", "inner_id")
 
 
@@ -239,9 +239,9 @@ def cigar_ends(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OVERLAP = """SELECT a.seqname, a.feature_id, b.feature_id AS cds_id FROM gtf_features a JOIN gtf_features b ON a.seqname = b.seqname AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos
-    WHERE a.feature_type = 'exon' AND b.feature_type = 'CDS' AND a.start_pos <= a.end_pos AND b.start_pos <= b.end_pos"""
+    WHERE a.feature_type = 'transcript' AND b.feature_type = 'CDS' AND a.start_pos <= a.end_pos AND b.start_pos <= b.end_pos"""
 _CONTAIN = """SELECT a.seqname, a.feature_id AS outer_id, b.feature_id AS inner_id FROM gtf_features a JOIN gtf_features b ON a.seqname = b.seqname AND a.start_pos <= b.start_pos AND a.end_pos >= b.end_pos
-    WHERE a.feature_type = 'transcript' AND b.feature_type = 'exon' AND a.start_pos <= a.end_pos AND b.start_pos <= b.end_pos"""
+    WHERE a.feature_type = 'transcript' AND b.feature_type = 'CDS' AND a.start_pos <= a.end_pos AND b.start_pos <= b.end_pos"""
 _LETTERS = "regexp_replace(sequence, '[^A-Za-z]', '', 'g')"
 _FLAGS = ", ".join(f"(flag & {m}) = {m} AS {n}" for n, m in alignment.FLAGS.items())
 

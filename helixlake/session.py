@@ -97,6 +97,13 @@ class GenomicsSession:
             regions = files.read_range(regions, 0, None).decode().splitlines() if files.exists(regions) else [regions]
         return self._binary("indexed_fasta", path, {"regions": ";".join(r.strip() for r in regions if r.strip())})
 
+    read_hmm_dom_tab = read_hmmdomtab
+    read_bigwig_view = read_bigwig_value
+
+    def read_deltalake(self, path: str) -> DataFrame:
+        """A Delta table, if the session has that source."""
+        return self.read_table(path, "delta")
+
     def read_table(self, path: str, fmt: str = "parquet") -> DataFrame:
         return text.read_table(self.spark, path, fmt)
 

@@ -71,7 +71,7 @@ def test_tabix_vcf_and_gff(gx, tmp_path):
     row = gx.read_indexed_vcf(path, "1:401-401").first()
     assert (row.alt, row.info, row.formats, row["filter"]) == (["C", "G"], "DP=401", "GT\t0/1", ["PASS"])
 
-    data, index = builders.tabix([f"c{k % 2}\tsrc\texon\t{s}\t{s + 50}\t.\t+\t.\tID=e{s};Note=a%2Cb,c" for k in range(2) for s in range(1, 30_000, 1000)], (1, 4, 5))
+    data, index = builders.tabix([f"c{k % 2}\tsrc\tCDS\t{s}\t{s + 50}\t.\t+\t.\tID=e{s};Note=a%2Cb,c" for k in range(2) for s in range(1, 30_000, 1000)], (1, 4, 5))
     (tmp_path / "x.gff.gz").write_bytes(data)
     (tmp_path / "x.gff.gz.tbi").write_bytes(index)
     got = gx.sql(f"SELECT * FROM gff_indexed_scan('{tmp_path / 'x.gff.gz'}', 'c1:1001-3001')")

@@ -94,7 +94,7 @@ def test_interval_join(spark, mode):
 
 # ---- p6 ------------------------------------------------------------------------------------------------------------------------------
 
-HEAD = "chr1\tsrc\texon\t5\t9\t.\t+\t.\t"
+HEAD = "chr1\tsrc\tCDS\t5\t9\t.\t+\t.\t"
 
 
 def first(line):

@@ -50,10 +50,10 @@ def test_gff(gx, tmp_path):
 
 
 def test_gtf(gx, tmp_path):
-    p = write(tmp_path / "a.gtf", '#!x\nchr1\tpt\texon\t11869\t12227\t.\t+\t.\tgene_id "G; 1"; exon_number 2; tag "a"; tag "b";\n')
+    p = write(tmp_path / "a.gtf", '#!x\nchr1\tpt\tCDS\t11869\t12227\t.\t+\t.\tgene_id "G; 1"; part_number 2; tag "a"; tag "b";\n')
     r = gx.read_gtf(p).first()
-    assert (r.seqname, r.type, r.start, r.end, r.score, r.frame) == ("chr1", "exon", 11869, 12227, None, None)
-    assert r.attributes == {"gene_id": "G; 1", "exon_number": "2", "tag": "a"}
+    assert (r.seqname, r.type, r.start, r.end, r.score, r.frame) == ("chr1", "CDS", 11869, 12227, None, None)
+    assert r.attributes == {"gene_id": "G; 1", "part_number": "2", "tag": "a"}
 
 
 def test_bed(gx, tmp_path):
