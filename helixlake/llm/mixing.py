@@ -119,11 +119,12 @@ def shares(documents: DataFrame, targets: DataFrame, budget: float | None = None
     rows = [(s, q[0], q[1], int(totals.get(s) or 0)) for s, q in quotas.items()]
     base = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens_available long")
     got = used.where("copies > 0").groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens_used"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_copies"))
-    all_used = used.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all_used"))
-    return base.join(got, "source", "left").crossJoin(F.broadcast(all_used)).select(
+    got = stored(got)
+    total = got.agg(F.sum("tokens_used")).first()[0] or 0
+    return base.join(got, "source", "left").select(
         "source", "target_share", "max_repeats", "tokens_available",
         F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
-        F.when(F.col("all_used") > 0, F.coalesce("tokens_used", F.lit(0)) / F.col("all_used")).otherwise(0.0).alias("share"),
+        (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(total or 1))).alias("share"),
         F.coalesce("n_documents", F.lit(0)).alias("n_documents"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )

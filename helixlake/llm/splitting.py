@@ -1,8 +1,8 @@
 """Problem 3: oversized sequences cut into overlapping pieces at natural boundaries.
 
 Balanced targets.  From the size limit and the overlap follows the least number of pieces; cut targets of equal piece length are
-placed; each is snapped to the strongest boundary nearby, the longest gap within a quarter of a piece, and within that gap to the
-position closest to the target.  If a piece then breaks the limit, one more piece is planned, and so on up to twice the least number;
+placed; each is snapped to the strongest boundary nearby, the longest gap within half a piece, and within that gap to the position
+closest to the target.  If a piece then breaks the limit, one more piece is planned, and so on up to twice the least number;
 beyond that the targets are used unsnapped, which always fit.
 
 Boundaries are gaps: maximal runs of at least ``MIN_GAP`` unknown residues (N, in proteins X, in either case) that reach neither end.
@@ -40,7 +40,7 @@ def cuts(n: int, gaps: list[tuple[int, int]], limit: int = LIMIT, overlap: int =
 
     def plan(pieces: int, snap: bool) -> list[tuple[int, int]]:
         length = (n + overlap * (pieces - 1)) / pieces
-        reach, out, lo = length / 4, [], 0
+        reach, out, lo = length / 2, [], 0  # every gap is near the target next to it
         for k in range(1, pieces):
             target = round(length + (k - 1) * (length - overlap))
             best = (0, 0.0, target)
