@@ -209,7 +209,7 @@ def alignment_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def motif_locations(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "reads").where("sequence IS NOT NULL")
-    return r.select("read_id", F.explode(sequence.locate_regex("sequence", "TATA[AT]A"))).select("read_id", F.col("col.start").alias("start_at"), F.col("col.end").alias("end_at"), F.col("col.match").alias("motif"))
+    return r.select("read_id", F.explode(sequence.locate_regex("sequence", "CC[AT]TGG"))).select("read_id", F.col("col.start").alias("start_at"), F.col("col.end").alias("end_at"), F.col("col.match").alias("motif"))
 
 
 def region_predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -281,7 +281,12 @@ PAIRS: dict[str, tuple[Query, str | None]] = {
     "integer_encodings": (integer_encodings, "SELECT c_custkey, array_to_string(list_transform(string_split(c_mktsegment, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 65 AS VARCHAR) ELSE 'null' END), ',') AS codes FROM customer"),
     "sam_flags": (sam_flags, f"SELECT read_id, {_FLAGS} FROM reads"),
     "alignment_scores": (alignment_scores, None),
-    "motif_locations": (motif_locations, None),
+    # The motif can't overlap itself, so every place where it stands is a match.
+    "motif_locations": (
+        motif_locations,
+        """SELECT read_id, CAST(i AS INTEGER) AS start_at, CAST(i + 6 AS INTEGER) AS end_at, substr(sequence, i, 6) AS motif
+        FROM (SELECT read_id, sequence, unnest(range(1, length(sequence) - 4)) AS i FROM reads WHERE sequence IS NOT NULL) WHERE regexp_full_match(substr(sequence, i, 6), 'CC[AT]TGG')""",
+    ),
     "region_predicates": (region_predicates, "SELECT variant_id, chrom = 'chr5' AND pos BETWEEN 100000 AND 900000 AS in_region, pos BETWEEN 1 AND 500000 AS in_interval, chrom = 'chr5' AS on_chrom FROM variants WHERE chrom IS NOT NULL AND pos IS NOT NULL"),
     "region_filter_points": (region_filter_points, "SELECT variant_id, chrom, pos FROM variants WHERE chrom = 'chr5' AND pos BETWEEN 100000 AND 900000"),
     "region_filter_overlaps": (region_filter_overlaps, "SELECT read_id FROM reads WHERE reference = 'chr5' AND start_pos <= 900000 AND end_pos >= 100000"),

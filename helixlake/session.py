@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from pathlib import Path
 
@@ -21,6 +22,7 @@ class GenomicsSession:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.settings = dict.fromkeys(_SETTINGS, False)
+        self.tables: dict[str, tuple[str, str, dict[str, str]]] = {}
         ship(spark)
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         register_all(spark)
@@ -116,6 +118,7 @@ class GenomicsSession:
         """The reader of a type's name (``FASTA``, ``INDEXED_VCF``, ...) with textual options."""
         kind = schemas.ALIASES.get(kind.lower(), kind.lower())
         compression = (options.get("compression") or "").lower()
+        cut = {k: options[k] for k in ("prune", "only") if k in options}
         flag = lambda name: options[name].lower() == "true" if name in options else None
         if kind == "fasta":
             return self.read_fasta(path, options.get("sequence_data_type", "utf8"), options.get("file_extension"))
@@ -126,15 +129,15 @@ class GenomicsSession:
         if kind == "sam":
             return self.read_sam(path)
         if kind == "bam":
-            return self.read_bam(path)
+            return self.read_bam(path, **cut)
         if kind == "cram":
-            return self.read_cram(path, options.get("fasta_reference"))
+            return self.read_cram(path, options.get("fasta_reference"), **cut)
         if kind == "gff" and flag("indexed"):
             kind = "indexed_gff"
         if kind == "bigwig_zoom":
             if "reduction_level" not in options:
                 raise ValueError("BIGWIG_ZOOM needs the option reduction_level")
-            return self.read_bigwig_zoom(path, int(options["reduction_level"]))
+            return self.read_bigwig_zoom(path, int(options["reduction_level"]), **cut)
         if kind == "deltatable":
             return self.read_table(path, "delta")
         if kind in ("parquet", "csv", "json"):
@@ -142,7 +145,7 @@ class GenomicsSession:
         if kind in ("gff", "gtf", "mzml", "genbank", "hmmdomtab", "sdf"):
             return getattr(self, f"read_{kind}")(path)
         if kind in {f.name for f in binary.FORMATS}:
-            return self._binary(kind, path, {"compression": compression} if compression else {})
+            return self._binary(kind, path, {**({"compression": compression} if compression else {}), **cut})
         raise ValueError(f"unknown file type {kind!r}")
 
     def _binary(self, name: str, path: str, options: dict) -> DataFrame:
@@ -151,7 +154,7 @@ class GenomicsSession:
     def _indexed(self, name: str, path: str, region: str | None, options: dict) -> DataFrame:
         from helixlake.functions import variant
 
-        df = self._binary(name, path, options)
+        df = self._binary(name, path, options if region is None else {**options, "prune": region})
         if region is None:
             return df
         return df.where(variant.overlap_filter(region, "reference", "start", "end") if name == "indexed_bam" else variant.point_filter(region, df.columns[0], "pos" if name == "indexed_vcf" else "start"))
@@ -159,7 +162,26 @@ class GenomicsSession:
     # ---- SQL ------------------------------------------------------------------------------------------------------------------------
 
     def register_table(self, name: str, path: str, kind: str | None = None, options: dict[str, str] | None = None) -> None:
-        (self.read_inferred(path) if kind is None else self.read(kind, path, options or {})).createOrReplaceTempView(name)
+        kind = schemas.infer_type(path)[0] if kind is None else kind
+        self.read(kind, path, options or {}).createOrReplaceTempView(name)
+        self.tables[name] = kind, path, options or {}
+
+    def _pruned(self, query: str) -> str:
+        """The query over a relation of its own that leaves out what the query's region and partition values exclude."""
+        for name, (kind, path, options) in self.tables.items():
+            if not re.search(rf"\bFROM\s+{re.escape(name)}\b", query, re.I):
+                continue
+            kind = schemas.ALIASES.get(kind.lower(), kind.lower())
+            if kind not in {f.name for f in binary.FORMATS}:
+                continue  # Spark prunes the text formats itself
+            keys = list(dict.fromkeys(k for f in files.find(path, schemas.EXTENSIONS.get(kind)) for k, _ in f.partitions))
+            found = statements.prunable(query, name, keys)
+            if found and (found[0] or found[1]):
+                only = ";".join(f"{k}={v}" for k, v in found[1].items())
+                view = f"pruned_{uuid.uuid4().hex}"
+                self.read(kind, path, {**options, **({"prune": found[0]} if found[0] else {}), **({"only": only} if only else {})}).createOrReplaceTempView(view)
+                return re.sub(rf"(\bFROM\s+){re.escape(name)}\b", rf"\g<1>{view}", query, count=1, flags=re.I)
+        return query
 
     def register_folder(self, path: str) -> list[str]:
         """A view per file of a folder whose type is known, named like the file."""
@@ -182,13 +204,27 @@ class GenomicsSession:
         if isinstance(s, statements.Copy):
             return self._copy(s)
         if s is not None and s[0] == "drop":
+            self.tables.pop(s[1], None)
             if not self.spark.catalog.dropTempView(s[1]):
                 self.spark.sql(query)
             return self._nothing()
         if s is not None:
             self.settings[s[1]] = s[2] == "true"
             return self._nothing()
-        return self.spark.sql(statements.rewrite(query, self._scan))
+        if "information_schema.tables" in query.lower():
+            query = self._information_schema(query)
+        return self.spark.sql(statements.rewrite(self._pruned(query), self._scan))
+
+    def _information_schema(self, query: str) -> str:
+        """``information_schema.tables``, which Spark lacks, as a view of the catalog."""
+        rows = [(t.namespace[0] if t.namespace else None, t.name, "VIEW" if t.isTemporary else "BASE TABLE") for t in self.spark.catalog.listTables()]
+        view = f"tables_{uuid.uuid4().hex}"
+        self.spark.createDataFrame(rows, "table_schema string, table_name string, table_type string").createOrReplaceTempView(view)
+        return re.sub(r"\binformation_schema\.tables\b", view, query, flags=re.I)
+
+    def to_arrow(self, query: str):
+        """The result of a query as an Arrow table on the driver; for results that fit there."""
+        return self.sql(query).toArrow()
 
     def _nothing(self) -> DataFrame:
         return self.spark.createDataFrame([], "result string")

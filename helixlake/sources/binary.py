@@ -1,8 +1,12 @@
 """Formats that need a decoder of their own, as Python data sources.
 
-Files are listed and headers read on the driver; a partition is one file or a byte range of one.  Equality on a partition column and
-region predicates that Catalyst pushes down (name equal, position bounds) prune files and, through an index, blocks; every predicate is
-still applied by Spark afterwards.  Rows leave the decoders as Arrow batches of the wanted columns (option ``columns``).
+Files are listed and headers read on the driver; a partition is one file or a byte range of one.  The option ``prune`` (a region) lets
+an index leave out blocks that can't hold its rows, ``only`` (``key=value``, separated by ``;``) leaves out partition directories; the
+caller applies the exact predicate, as ``GenomicsSession`` does.  Rows leave the decoders as Arrow batches of the wanted columns (option
+``columns``).
+
+The sources don't take part in Spark's filter pushdown: in 4.1 a relation keeps the filters that were pushed last, so that a second scan
+of the same view, even in the same query, would silently read the first one's rows.
 """
 
 from __future__ import annotations
@@ -13,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
 
-from helixlake.plans.region import Interval, Region
+from helixlake.plans.region import Region
 from helixlake.sources import bam, bcf, bgzf, bigwig, cram, fcs, files, schemas
 
 ROWS = 8192
@@ -48,11 +52,9 @@ def _plain(rows: Iterator[tuple], schema: T.StructType) -> Iterator[pa.RecordBat
 
 
 class Format:
-    """How one format is planned and read; ``name_column`` and ``span`` are the columns of its region predicate."""
+    """How one format is planned and read."""
 
     name = ""
-    name_column = ""
-    span: tuple[str, str] = ("", "")
     ddl = ""
 
     def schema(self, found: list[files.Found], options: dict) -> T.StructType:
@@ -141,7 +143,7 @@ class Fastq(Format):
 class Alignments(Format):
     """BAM; with a ``.bai`` or ``.csi`` beside it, regions and splits are found through the index."""
 
-    name, name_column, span, ddl = "bam", "reference", ("start", "end"), schemas.ALIGNMENT
+    name, ddl = "bam", schemas.ALIGNMENT
 
     def schema(self, found: list[files.Found], options: dict) -> T.StructType:
         base = schemas.struct(schemas.ALIGNMENT)
@@ -254,7 +256,7 @@ class Cram(Alignments):
 class Variants(Format):
     """BCF; ``info`` and ``formats`` are typed by the first file's header."""
 
-    name, name_column, span, ddl = "bcf", "chrom", ("pos", "pos"), schemas.VCF
+    name, ddl = "bcf", schemas.VCF
 
     def header(self, path: str) -> bcf.Header:
         with files.open_raw(path) as raw:
@@ -318,7 +320,7 @@ class Lines(Format):
 class IndexedVcf(Lines):
     """Rows of the VCF schema with raw ``info`` and ``formats``."""
 
-    name, name_column, span, ddl = "indexed_vcf", "chrom", ("pos", "pos"), schemas.VCF
+    name, ddl = "indexed_vcf", schemas.VCF
 
     def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:
         for (line,) in super().rows(part, options, schema):
@@ -330,7 +332,7 @@ class IndexedVcf(Lines):
 
 
 class IndexedGff(Lines):
-    name, name_column, span, ddl = "indexed_gff", "seqname", ("start", "start"), schemas.GFF
+    name, ddl = "indexed_gff", schemas.GFF
 
     def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:
         from urllib.parse import unquote
@@ -347,7 +349,7 @@ class IndexedGff(Lines):
 
 
 class BigwigValue(Format):
-    name, name_column, span, ddl = "bigwig_value", "name", ("start", "start"), schemas.BIGWIG_VALUE
+    name, ddl = "bigwig_value", schemas.BIGWIG_VALUE
     zoom = False
 
     def offset(self, header: bigwig.Header, options: dict) -> int:
@@ -461,41 +463,14 @@ FORMATS: list[type[Format]] = [Fastq, Alignments, IndexedAlignments, Cram, Varia
 class Reader(DataSourceReader):
     def __init__(self, fmt: Format, options: dict, schema: T.StructType) -> None:
         self.fmt, self.options, self.schema = fmt, options, schema
-        self.keys: dict[str, str] = {}
-        self.name: str | None = None
-        self.low: int | None = None
-        self.high: int | None = None
-        self.never = False
-
-    def pushFilters(self, filters):  # noqa: N802
-        """Note what prunes files and blocks; every filter is left to Spark as well."""
-        low, high = self.fmt.span
-        for f in filters:
-            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if column is not None and hasattr(f, "value"):
-                v = f.value
-                if isinstance(f, EqualTo) and column == self.fmt.name_column and isinstance(v, str):
-                    self.never |= self.name not in (None, v)
-                    self.name = v
-                elif isinstance(f, EqualTo) and column not in (low, high):
-                    self.keys[column] = str(v)
-                elif isinstance(v, int) and not isinstance(v, bool):
-                    if column == high and isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                        self.low = max(self.low or 1, v + isinstance(f, GreaterThan))
-                    if column == low and isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                        self.high = min(v - isinstance(f, LessThan), self.high if self.high is not None else 1 << 60)
-            yield f
 
     def partitions(self):
-        region = None
-        if self.name is not None:
-            if self.never or self.low is not None and self.high is not None and self.low > self.high:
-                return [Part("", (), ())]
-            region = Region(self.name, Interval(self.low, self.high))
+        region = Region.parse(self.options["prune"]) if self.options.get("prune") else None
+        keys = dict(x.split("=", 1) for x in self.options.get("only", "").split(";") if x)
         out = []
         for f in _found(self.fmt, self.options):
             own = dict(f.partitions)
-            if all(own.get(k, v) == v for k, v in self.keys.items()):
+            if all(own.get(k, v) == v for k, v in keys.items()):
                 out += [Part(f.path, f.partitions, what) for what in self.fmt.parts(f, region, self.options)]
         return out or [Part("", (), ())]
 
@@ -544,8 +519,7 @@ def source_of(fmt: type[Format]) -> type[Source]:
 
 
 def register(spark) -> None:
-    """Register every source; they take part in filter pushdown, which the session must allow."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Register every source."""
     for f in FORMATS:
         spark.dataSource.register(source_of(f))
 

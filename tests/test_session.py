@@ -29,7 +29,18 @@ def test_statements():
         statements.parse("CREATE EXTERNAL TABLE t STORED AS FASTA")
     view = lambda kind, args: f"<{kind}:{','.join(args)}>"
     assert statements.rewrite("SELECT 'make_array(1)', make_array(1) FROM fasta_scan('a', 'gzip') x", view) == "SELECT 'make_array(1)', array(1) FROM <fasta:a,gzip> x"
-    assert statements.rewrite("vcf_region_filter('1:2-3', chrom) AND vcf_region_filter('1')", view) == "vcf_region_filter2('1:2-3', chrom) AND vcf_region_filter3('1', chrom, pos)"
+    assert statements.rewrite("vcf_region_filter('1', chrom) AND vcf_region_filter('1')", view) == "vcf_region_filter2('1', chrom) AND vcf_region_filter3('1', chrom, pos)"
+    assert statements.rewrite("bam_region_filter('1:2-3', b.reference) AND x", view) == "bam_region_filter4('1:2-3', b.reference, b.start, b.`end`) AND x"
+
+
+def test_prunable():
+    ask = lambda q, keys=("s",): statements.prunable(q, "t", list(keys))
+    assert ask("SELECT a FROM t WHERE vcf_region_filter('1:2-3', chrom, pos) = true AND s = '4' AND b > 1 ORDER BY a") == ("1:2-3", {"s": "4"})
+    assert ask("SELECT a FROM t AS x WHERE x.s = 7;") == (None, {"s": "7"}) and ask("select count(*) from t where bam_region_filter('c', r)") == ("c", {})
+    for q in ("WHERE a = 1 OR vcf_region_filter('1', c)", "JOIN u ON true WHERE vcf_region_filter('1', c)", "WHERE NOT vcf_region_filter('1', c)", "WHERE vcf_region_filter('1', c) UNION SELECT 1 FROM t"):
+        assert ask("SELECT a FROM t " + q) is None
+    assert ask("SELECT a FROM t WHERE vcf_region_filter('1', c) = false") == (None, {}) and ask("SELECT vcf_region_filter('1', c) FROM t WHERE a = 1") == (None, {})
+    assert ask("SELECT a FROM t WHERE b = 'x AND s = 5'") == (None, {}) and ask("SELECT a FROM tt WHERE s = 1") is None and ask("SELECT a FROM t WHERE f(b AND s = 1 AND c)") == (None, {})
 
 
 def test_tables_and_copy(gx, tmp_path):
@@ -71,6 +82,12 @@ def test_register_folder(gx, tmp_path):
     assert gx.sql("SELECT count(*) AS n FROM one").first().n == 1
 
 
+def test_information_schema_and_arrow(gx):
+    gx.spark.range(3).createOrReplaceTempView("three")
+    assert gx.sql("SELECT table_type FROM information_schema.tables WHERE table_name = 'three'").first()[0] == "VIEW"
+    assert gx.to_arrow("SELECT id FROM three").num_rows == 3
+
+
 def test_sql_functions(gx):
     one = lambda q: gx.sql("SELECT " + q).first()[0]
     assert one("reverse_complement('ATCGn')") == "nCGAT" and one("trim_polya('ATCGAAaa')") == "ATCG" and one("gc_content('ATCG')") == 0.5
