@@ -111,6 +111,25 @@ def test_fused_values_and_empty(spark):
     assert [(r.read_id, r.size) for r in fusion.fuse(copies).collect()] == [(0, 500)]
 
 
+def compared(spark, claims):
+    """Shared values and number of different ones by pair of sources, of claims (grp, source, value)."""
+    votes = spark.createDataFrame(claims, "grp string, source string, value string").withColumn("field", F.lit("cigar"))
+    same = fusion.Window.partitionBy("grp", "field", "value")
+    votes = votes.withColumn("before", F.lag("source").over(same.orderBy("source"))).withColumn("claimants", F.count("value").over(same))
+    return {(r.grp, r.source, r.before): (sorted(r.shared), r.differ) for r in fusion._compared(votes).collect()}
+
+
+def test_sources_are_compared_on_all_values(spark):
+    several = compared(spark, [("g", s, v) for s in "AB" for v in "xy"])
+    assert several == {("g", "B", "A"): (["x", "y"], 0)}
+    between = compared(spark, [("g", "A", "x"), ("g", "B", "y"), ("g", "C", "x")])
+    assert between == {("g", "B", "A"): ([], 1), ("g", "C", "A"): (["x"], 0), ("g", "C", "B"): ([], 1)}
+    # The last source copies the first, thirty others stand between them.
+    many = compared(spark, [("g", f"s{i:02}", "x" if i in (0, 31) else f"v{i % 3}") for i in range(32)] + [("g", "s31", "only")])
+    assert many["g", "s31", "s00"] == (["x"], 1)
+    assert len(many) == len(set(many)) <= 32 * (fusion.NEAR + 1)
+
+
 # ---- p3 ------------------------------------------------------------------------------------------------------------------------------
 
 
