@@ -130,6 +130,13 @@ def test_sources_are_compared_on_all_values(spark):
     assert len(many) == len(set(many)) <= 32 * (fusion.NEAR + 1)
 
 
+def test_many_votes_do_not_saturate(spark):
+    claims = [("g", "cigar", v, f"{v}{i}", None) for v, n in (("x", 900), ("y", 400), ("z", 90)) for i in range(n)]
+    got = {r.value: r for r in fusion._vote(spark.createDataFrame(claims, "grp string, field string, value string, source string, before string"), None, None).collect()}
+    assert got["x"].p == 1.0 and got["x"].held and got["y"].p < 1e-300
+    assert got["z"].log_p < got["y"].log_p < -1000  # still told apart where p is 0
+
+
 # ---- p3 ------------------------------------------------------------------------------------------------------------------------------
 
 
