@@ -2,8 +2,11 @@
 
 Balanced targets.  From the size limit and the overlap follows the least number of pieces; cut targets of equal piece length are
 placed; each is snapped to the strongest boundary nearby, the longest gap within half a piece, and within that gap to the position
-closest to the target.  If a piece then breaks the limit, one more piece is planned, and so on up to twice the least number;
-beyond that the targets are used unsnapped, which always fit.
+closest to the target.  If a piece then breaks the limit, one more piece is planned, and so on up to twice the least number.
+
+A record of more than twice ``STRETCH`` pieces is planned in stretches that end in snapped cuts, so that a piece that breaks the limit costs
+one more piece in its own stretch only.  Where no number of pieces fits, the stretch is cut piece by piece, each cut at the longest
+gap within reach and within the limit, the targets of the rest being balanced anew; only a target without such a gap stays unsnapped.
 
 Boundaries are gaps: maximal runs of at least ``MIN_GAP`` unknown residues (N, in proteins X, in either case) that reach neither end.
 Only the letters A to Z of ``sequence`` are residues.  A null sequence is empty, a null ``mol_type`` counts as dna.  Sequences within
@@ -13,6 +16,7 @@ the limit give no rows.  The work is per record and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP, MIN_GAP = 6000, 200, 10
+#: Least number of pieces of a stretch that is planned as a whole.
+STRETCH = 8
 _OTHER = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
 
 
@@ -33,38 +39,57 @@ def gaps_of(seq: bytes, protein: bool, least: int = MIN_GAP) -> list[tuple[int,
     return [m.span() for m in run.finditer(seq) if m.start() > 0 and m.end() < len(seq)]
 
 
-def cuts(n: int, gaps: list[tuple[int, int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Cut positions between 0 and ``n`` with the strength of the boundary at each (0: none)."""
+def _snapped(target: int, gaps: list[tuple[int, int]], low: float, high: float) -> tuple[int, int]:
+    """The position closest to ``target`` in the longest gap between ``low`` and ``high`` with its length; the target itself and 0 if there is none."""
+    best = (0, 0, target)
+    for i in range(bisect_left(gaps, low, key=lambda g: g[1]), len(gaps)):
+        a, b = gaps[i]
+        if a > high:
+            break
+        at = min(max(target, a), b)
+        best = max(best, (b - a, -abs(at - target), at))
+    return best[2], best[0]
+
+
+def _stretch(start: int, n: int, gaps: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Cuts between ``start`` and ``n``, the first piece beginning at ``start``."""
     step = limit - overlap
-    least = 1 + -(-(n - limit) // step)
-
-    def plan(pieces: int, snap: bool) -> list[tuple[int, int]]:
-        length = (n + overlap * (pieces - 1)) / pieces
-        reach, out, lo = length / 2, [], 0  # every gap is near the target next to it
-        for k in range(1, pieces):
-            target = round(length + (k - 1) * (length - overlap))
-            best = (0, 0.0, target)
-            if snap:
-                while lo < len(gaps) and gaps[lo][1] < target - reach:
-                    lo += 1
-                i = lo
-                while i < len(gaps) and gaps[i][0] <= target + reach:
-                    a, b = gaps[i]
-                    at = min(max(target, a), b)
-                    best = max(best, (b - a, -abs(at - target), at))
-                    i += 1
-            out.append((best[2], best[0]))
-        return out
+    least = 1 + -(-(n - start - limit) // step)
+
+    def plan(pieces: int) -> list[tuple[int, int]]:
+        length = (n - start + overlap * (pieces - 1)) / pieces  # every gap is near the target next to it
+        targets = [start + round(length + (k - 1) * (length - overlap)) for k in range(1, pieces)]
+        return [_snapped(t, gaps, t - length / 2, t + length / 2) for t in targets]
 
     def fits(c: list[tuple[int, int]]) -> bool:
-        at = [0, *(x for x, _ in c), n]
+        at = [start, *(x for x, _ in c), n]
         return all(overlap < y - x + (overlap if i else 0) <= limit and (i == 0 or y > x) for i, (x, y) in enumerate(zip(at, at[1:], strict=False)))
 
-    if gaps:
-        for pieces in range(least, 2 * least + 1):
-            if fits(c := plan(pieces, True)):
-                return c
-    return plan(least, False) if fits(plan(least, False)) else plan(least + 1, False)
+    for pieces in range(least, 2 * least + 1):
+        if fits(c := plan(pieces)):
+            return c
+    out: list[tuple[int, int]] = []
+    at = start + overlap  # of each piece the overlap is given
+    while n - at > step:
+        length = (n - at) / -(-(n - at) // step)
+        target = round(at + length)
+        out.append(_snapped(target, gaps, at + length / 2, min(target + length / 2, at + step)))
+        at = out[-1][0]
+    return out
+
+
+def cuts(n: int, gaps: list[tuple[int, int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """Cut positions between 0 and ``n`` with the strength of the boundary at each (0: none)."""
+    step = limit - overlap
+    out: list[tuple[int, int]] = []
+    start = 0
+    while (least := 1 + -(-(n - start - limit) // step)) > 2 * STRETCH:
+        length = (n - start + overlap * (least - 1)) / least
+        target = start + round(length + (STRETCH - 1) * (length - overlap))
+        end = _snapped(target, gaps, target - length / 2, target + length / 2)
+        out += [*_stretch(start, end[0], gaps, limit, overlap), end]
+        start = end[0] - overlap
+    return out + _stretch(start, n, gaps, limit, overlap)
 
 
 _PIECE = pa.struct([("piece_no", pa.int32()), ("name", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("cut_gap", pa.int32()), ("sequence", pa.string())])

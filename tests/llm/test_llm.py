@@ -175,6 +175,21 @@ def test_splitting(spark):
         splitting.split(df, limit=100, overlap=60)
 
 
+@pytest.mark.parametrize("n", [20_000, 60_000, 600_000, 6_000_000])
+def test_long_records_keep_their_boundaries(n):
+    rng, gaps, x = random.Random(n), [], 1000
+    while x < n - 1000:
+        gaps.append((x, x + rng.randrange(10, 200)))
+        x += rng.randrange(500, 2500)
+    c = splitting.cuts(n, gaps)
+    at = [0, *(x for x, _ in c), n]
+    assert all(0 < y - x <= (5800 if i else 6000) for i, (x, y) in enumerate(zip(at, at[1:])))
+    assert all(any(a <= x <= b and b - a == k for a, b in gaps) for x, k in c)
+    assert len(at) - 1 <= 2 * (1 + -(-(n - 6000) // 5800))
+    bare = splitting.cuts(n, [])
+    assert len(bare) == -(-(n - 6000) // 5800) and not any(k for _, k in bare)
+
+
 # ---- p8 ------------------------------------------------------------------------------------------------------------------------------
 
 
