@@ -10,7 +10,9 @@ Weights of evidence are parameters: a stated unit is certain, a remark holds for
 ``silent=SOFT`` the jumps of the values decide.
 
 Sequences are cut into blocks of ``BLOCK`` scans, so that a device with a third of all rows is spread over tasks.  Rows are streamed
-in sorted order and no group is gathered beyond its block.
+in sorted order and no group is gathered beyond its block.  Where jumps decide, a sequence of several blocks is decoded as if it were
+whole: the nearest stated values on both sides of each block are carried to it, then the min-plus products of the blocks give the
+states in which the cheapest path crosses their edges.
 
 Null or unreadable values give number and converted value null; a quantity without target keeps its number; an unknown stated unit
 decodes as ``unknown`` and isn't converted.  Repeated rows are decoded alike.  Null run or accession: the row stands for itself.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.runtime import broadcast_if_small
+from helixlake.runtime import broadcast_if_small, stored
 
 #: Scans of one decoded block.
 BLOCK = 4096
 STATED, REMARKED, CERTAIN, SOFT = 200.0, 100.0, 50.0, 1.5
 #: Cost of a switch of unit between successive rows, and of a unit of log distance from the level.
 SWITCH, SPREAD = 6.0, 1.0
+#: Most that a distance costs.
+FAR = 30.0
 #: Rows on either side that make up the level.
 NEAR = 15
 
@@ -191,38 +195,99 @@ def remark_units(remarks: str | None, names: dict[str, tuple[str, str]]) -> dict
     return out
 
 
-def viterbi(log_values: np.ndarray, evidence: np.ndarray, stated: np.ndarray) -> np.ndarray:
-    """States of the cheapest path.  ``log_values``: rows by units, the log of the converted value (nan: no evidence)."""
-    n, k = evidence.shape
+def stated_values(log_values: np.ndarray, stated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a stated unit and a value, and the log of that value."""
     known = np.where(stated >= 0)[0]
+    x = log_values[known, stated[known]]
+    good = ~np.isnan(x)
+    return known[good], x[good]
+
+
+def emissions(log_values: np.ndarray, evidence: np.ndarray, stated: np.ndarray, before: list[float] = (), after: list[float] = ()) -> np.ndarray:
+    """Cost of each state in each row; ``before`` and ``after`` are the nearest stated values of the neighbouring blocks."""
+    n = len(evidence)
     level = np.full(n, np.nan)
-    if len(known):
-        x = log_values[known, stated[known]]
-        good = ~np.isnan(x)
-        known, x = known[good], x[good]
-        if len(x):
-            at = np.clip(np.searchsorted(known, np.arange(n)), 0, len(x) - 1)
-            windows: dict[int, float] = {}
-            for i, c in enumerate(at.tolist()):
-                if c not in windows:
-                    windows[c] = float(np.median(x[max(0, c - NEAR) : c + NEAR + 1]))
-                level[i] = windows[c]
+    known, x = stated_values(log_values, stated)
+    known = np.concatenate([np.full(len(before), -1), known, np.full(len(after), n)])
+    x = np.concatenate([np.array(before, float), x, np.array(after, float)])
+    if len(x):
+        at = np.clip(np.searchsorted(known, np.arange(n)), 0, len(x) - 1)
+        windows: dict[int, float] = {}
+        for i, c in enumerate(at.tolist()):
+            if c not in windows:
+                windows[c] = float(np.median(x[max(0, c - NEAR) : c + NEAR + 1]))
+            level[i] = windows[c]
     distance = np.nan_to_num(np.abs(log_values - level[:, None]) / SPREAD, nan=0.0)
-    emit = np.minimum(distance, 30.0) - evidence
+    return np.minimum(distance, FAR) - evidence
+
+
+def crossing(emit: np.ndarray) -> np.ndarray:
+    """Min-plus product of a block: the cheapest path's cost from each state before it to each state of its last row."""
+    cost = np.full((emit.shape[1], emit.shape[1]), np.inf)
+    np.fill_diagonal(cost, 0.0)
+    for row in emit:
+        cost = np.minimum(cost, cost.min(axis=1, keepdims=True) + SWITCH) + row
+    return cost
+
+
+def edges(products: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For each block of a sequence the state before it (-1: the sequence begins) and the state of its last row on the cheapest path."""
+    costs = [products[0].min(axis=0)]  # any state may come before the first row
+    for m in products[1:]:
+        c = (costs[-1][:, None] + m).min(axis=0)
+        costs.append(c - c.min())
+    out = []
+    last = int(costs[-1].argmin())
+    for b in range(len(products) - 1, 0, -1):
+        entry = int((costs[b - 1] + products[b][:, last]).argmin())
+        out.append((entry, last))
+        last = entry
+    return [(-1, last), *reversed(out)]
+
+
+def viterbi(log_values: np.ndarray, evidence: np.ndarray, stated: np.ndarray, before: list[float] = (), after: list[float] = (), entry: int = -1, last: int = -1) -> np.ndarray:
+    """States of the cheapest path.  ``log_values``: rows by units, the log of the converted value (nan: no evidence).
+
+    ``entry`` is the state before the first row and ``last`` that of the last row, -1 where they are free.
+    """
+    n, k = evidence.shape
+    emit = emissions(log_values, evidence, stated, before, after)
     back = np.zeros((n, k), np.int8)
-    cost = emit[0]
+    cost = emit[0] if entry < 0 else emit[0] + np.where(np.arange(k) == entry, 0.0, SWITCH)
     for i in range(1, n):
         best = int(cost.argmin())
         move = cost[best] + SWITCH
         back[i] = np.where(cost <= move, np.arange(k), best)
         cost = np.minimum(cost, move) + emit[i]
     path = np.zeros(n, np.int64)
-    path[-1] = int(cost.argmin())
+    path[-1] = int(cost.argmin()) if last < 0 else last
     for i in range(n - 1, 0, -1):
         path[i - 1] = back[i, path[i]]
     return path
 
 
+def by_key(n_keys: int, solve: Callable[[tuple, list[tuple]], list[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``solve`` for each run of rows that are equal in their first columns; rows are passed without these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        group: list[tuple] = []
+        emit = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema.names)
+        for b in batches:
+            done: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:n_keys] != key:
+                    if group:
+                        done += solve(key, group)
+                    key, group = row[:n_keys], []
+                group.append(row[n_keys:])
+            yield emit(done)
+        if group:
+            yield emit(solve(key, group))
+
+    return run
+
+
 _OUT = "param_id long, run_id long, accession string, scan long, number double, unit string, target_unit string, target_value double, basis string"
 
 
@@ -250,17 +315,19 @@ def decode(cv_params: DataFrame, runs: DataFrame, targets: DataFrame, silent: fl
     block = F.when(F.col("run_id").isNull(), F.col("param_id")).otherwise(F.floor(F.col("scan") / BLOCK))
     ordered = params.join(broadcast_if_small(said), ["run_id", "accession"], "left").withColumn("block", block)
     keys = ["run_id", "accession", "block"]
-    ordered = ordered.repartition(*keys).sortWithinPartitions(*keys, "scan", "param_id").select("param_id", *keys, "scan", "name", "value", "unit_name", "unit_accession", "remarked")
+    ordered = ordered.select("param_id", *keys, "scan", "name", "value", "unit_name", "unit_accession", "remarked").withColumn("carried", F.lit(None).cast("array<double>"))
 
-    def solve(key: tuple, group: list[tuple]) -> list[tuple]:
-        run, accession, _ = key
+    def sequenced(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, F.col("scan").asc_nulls_first(), "param_id").select(*keys, "param_id", "scan", "name", "value", "unit_name", "unit_accession", "remarked", "carried")
+
+    def observed(accession: str, group: list[tuple]) -> tuple:
         dimension = names[accession][1]
         units = DIMENSIONS[dimension]
         k, target = len(units), goal[accession]
         numbers, stated, basis = [], [], []
         evidence = np.zeros((len(group), k + 1))  # the last state is the unknown unit
         evidence[:, k] = -CERTAIN
-        for i, (_, _, name, value, unit_name, unit_accession, remarked) in enumerate(group):
+        for i, (_, _, name, value, unit_name, unit_accession, remarked, _) in enumerate(group):
             x, tail = number_and_unit(value, dimension)
             u = stated_unit(dimension, tail, name, unit_name, unit_accession)
             if u is not None:
@@ -277,7 +344,22 @@ def decode(cv_params: DataFrame, runs: DataFrame, targets: DataFrame, silent: fl
         converted = np.stack([(x * u.factor + u.offset - off) / to for u in units] + [np.full(len(x), np.nan)], 1)
         with np.errstate(invalid="ignore", divide="ignore"):
             logs = np.where(converted > 0, np.log(np.where(converted > 0, converted, 1.0)), np.nan)
-        path = viterbi(logs, evidence, np.array([s if 0 <= s < k else -1 for s in stated]))
+        return numbers, converted, basis, (logs, evidence, np.array([s if 0 <= s < k else -1 for s in stated]))
+
+    def opened(group: list[tuple]) -> tuple[list[tuple], dict]:
+        """A block's rows and what is carried to it, which a row without an id holds."""
+        if group[0][0] is not None:
+            return group, {}
+        entry, last, n, *x = group[0][-1]
+        return group[1:], {"entry": int(entry), "last": int(last), "before": x[: int(n)], "after": x[int(n) :]}
+
+    def solve(key: tuple, group: list[tuple]) -> list[tuple]:
+        run, accession, _ = key
+        group, carried = opened(group)
+        numbers, converted, basis, seen = observed(accession, group)
+        units, target = DIMENSIONS[names[accession][1]], goal[accession]
+        k = len(units)
+        path = viterbi(*seen, **carried)
         out = []
         for i, g in enumerate(group):
             p = int(path[i])
@@ -287,24 +369,56 @@ def decode(cv_params: DataFrame, runs: DataFrame, targets: DataFrame, silent: fl
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.float64(), pa.string()]
     labels = [part.split()[0] for part in _OUT.split(", ")]
+    if silent <= FAR + 2 * SWITCH:  # else no row depends on another
+        several = ordered.where("run_id IS NOT NULL").groupBy("run_id", "accession").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("run_id", "accession")
+        several = stored(several)
+        if not several.isEmpty():
+            ordered = ordered.unionByName(_carried(sequenced, ordered.join(several, ["run_id", "accession"], "left_semi"), observed, opened), allowMissingColumns=True)
+    return sequenced(ordered).mapInArrow(by_key(3, solve, pa.schema(list(zip(labels, kinds, strict=True)))), _OUT)
+
+
+_BLOCK_KEY = [("run_id", pa.int64()), ("accession", pa.string()), ("block", pa.int64())]
+_DOUBLES = pa.list_(pa.float64())
+
+
+def _carried(sequenced: Callable, rows: DataFrame, observed: Callable, opened: Callable) -> DataFrame:
+    """``(run_id, accession, block, carried)``: for each block the states at its edges, the number of values before it, and the stated values before and after it."""
+    reach = NEAR + 1
+
+    def summary(key: tuple, group: list[tuple]) -> list[tuple]:
+        logs, _, stated = observed(key[1], group)[3]
+        x = stated_values(logs, stated)[1].tolist()
+        return [(*key, x[:reach], x[-reach:])]
+
+    def levels(key: tuple, blocks: list[tuple]) -> list[tuple]:
+        before, out = [], []
+        for _, _, tail in blocks:
+            out.append(before)
+            before = (before + tail)[-reach:]
+        after: list[float] = []
+        for i in range(len(blocks) - 1, -1, -1):
+            out[i] = (*key, blocks[i][0], [-1.0, -1.0, len(out[i]), *out[i], *after])
+            after = (blocks[i][1] + after)[:reach]
+        return out
 
-    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        group: list[tuple] = []
-        emit = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], labels)
-        for b in batches:
-            done: list[tuple] = []
-            for param, run, accession, at, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (run, accession, at) != key:
-                    if group:
-                        done += solve(key, group)
-                    key, group = (run, accession, at), []
-                group.append((param, *rest))
-            yield emit(done)
-        if group:
-            yield emit(solve(key, group))
+    def product(key: tuple, group: list[tuple]) -> list[tuple]:
+        carried = group[0][-1]
+        group, at = opened(group)
+        return [(*key, carried, crossing(emissions(*observed(key[1], group)[3], at["before"], at["after"])).ravel().tolist())]
+
+    def joined(key: tuple, blocks: list[tuple]) -> list[tuple]:
+        k = math.isqrt(len(blocks[0][2]))
+        states = edges([np.array(b[2]).reshape(k, k) for b in blocks])
+        return [(*key, b[0], [float(entry), float(last), *b[1][2:]]) for b, (entry, last) in zip(blocks, states, strict=True)]
+
+    def by_sequence(df: DataFrame) -> DataFrame:
+        return df.repartition("run_id", "accession").sortWithinPartitions("run_id", "accession", "block")
 
-    return ordered.mapInArrow(run_blocks, _OUT)
+    key, out = "run_id long, accession string, block long, ", pa.schema([*_BLOCK_KEY, ("carried", _DOUBLES)])
+    sums = sequenced(rows).mapInArrow(by_key(3, summary, pa.schema([*_BLOCK_KEY, ("head", _DOUBLES), ("tail", _DOUBLES)])), key + "head array<double>, tail array<double>")
+    near = by_sequence(sums).mapInArrow(by_key(2, levels, out), key + "carried array<double>")
+    products = sequenced(rows.unionByName(near, allowMissingColumns=True)).mapInArrow(by_key(3, product, pa.schema([*out, ("product", _DOUBLES)])), key + "carried array<double>, product array<double>")
+    return stored(by_sequence(products).mapInArrow(by_key(2, joined, out), key + "carried array<double>"))
 
 
 def found(cv_params: DataFrame, runs: DataFrame, targets: DataFrame) -> DataFrame:

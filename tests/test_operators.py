@@ -242,6 +242,23 @@ def test_soft_decoding_follows_jumps(spark):
     assert {i for i, u in got.items() if u == "minute"} == set(range(20, 40))
 
 
+def test_blocks_decode_like_whole_sequences(spark, monkeypatch):
+    rng, params = random.Random(3), []
+    for run in (1, 2, 3):
+        minutes = False
+        for i in range(250):
+            minutes ^= rng.random() < 0.03
+            stated = i < 5 if run == 1 else rng.random() < 0.02
+            value = str(rng.uniform(500, 700) / (60 if minutes and not stated else 1))
+            params.append((len(params), run, f"scan={i}", "MS:1000016", "t", value, "UO:0000010" if stated else None, None))
+    params.append((len(params), None, "scan=1", "MS:1000016", "t", "3", None, None))
+    tables = unit_tables(spark, params, [(1, None)])
+    whole = {r.param_id: r for r in units.decode(*tables, silent=units.SOFT).collect()}
+    assert {r.unit for r in whole.values()} == {"second", "minute"} and len(whole) == len(params)
+    monkeypatch.setattr(units, "BLOCK", 7)
+    assert {r.param_id: r for r in units.decode(*tables, silent=units.SOFT).collect()} == whole
+
+
 # ---- p5 ------------------------------------------------------------------------------------------------------------------------------
 
 
