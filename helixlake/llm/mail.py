@@ -92,35 +92,39 @@ def _split(text: str) -> tuple[dict[str, str], str]:
     return (_head(text[: m.start()]), text[m.end() :]) if m else (_head(text), "")
 
 
-def _parts(headers: dict[str, str], body: str, out: list[tuple[str, str]], depth: int) -> None:
-    kind = headers.get("content-type", "text/plain")
-    low = kind.lower()
-    if low.startswith("multipart/") and depth < 12:
-        if m := _BOUNDARY.search(kind):
-            pieces = re.split(r"(?:^|\r?\n)--" + re.escape(m.group(1).strip()) + r"(?:--)?[ \t]*(?=\r?\n|$)", body)
-            if pieces[0].strip():
-                out.append(("text/plain", pieces[0]))
-            for piece in pieces[1:]:
-                piece = piece.removeprefix("\r").removeprefix("\n")
-                if piece.strip():
-                    _parts(*_split(piece), out, depth + 1)
-            return
-        low = "text/plain"
-    if low.startswith("message/"):
-        inner, rest = _split(body)
-        if "subject" in inner:
-            out.append(("text/plain", header_text(inner["subject"])))
-        return _parts(inner, rest, out, depth + 1) if depth < 12 else None
-    if not low.startswith("text"):
-        return
-    encoding = headers.get("content-transfer-encoding", "").strip().lower()
-    if encoding.startswith("base6"):
-        charset = m.group(1) if (m := _CHARSET.search(kind)) else ""
-        body = _decode(b64(body), charset)
-    elif encoding.startswith("quoted"):
-        charset = m.group(1) if (m := _CHARSET.search(kind)) else ""
-        body = _decode(binascii.a2b_qp(body.encode("utf-8", "surrogatepass")), charset)
-    out.append(("text/html" if low.startswith("text/html") else "text/plain", body))
+def _parts(headers: dict[str, str], body: str, out: list[tuple[str, str]]) -> None:
+    """Text parts in order.  Entities wait on a stack, so that they may be nested at any depth; each level consumes text."""
+    waiting: list[tuple[dict[str, str], str] | str] = [(headers, body)]
+    while waiting:
+        entity = waiting.pop()
+        headers, body = _split(entity) if isinstance(entity, str) else entity
+        kind = headers.get("content-type", "text/plain")
+        low = kind.lower()
+        if low.startswith("multipart/"):
+            if m := _BOUNDARY.search(kind):
+                pieces = re.split(r"(?:^|\r?\n)--" + re.escape(m.group(1).strip()) + r"(?:--)?[ \t]*(?=\r?\n|$)", body)
+                if pieces[0].strip():
+                    out.append(("text/plain", pieces[0]))
+                rest = (piece.removeprefix("\r").removeprefix("\n") for piece in pieces[1:])
+                waiting += [piece for piece in rest if piece.strip()][::-1]
+                continue
+            low = "text/plain"
+        if low.startswith("message/"):
+            inner, rest = _split(body)
+            if "subject" in inner:
+                out.append(("text/plain", header_text(inner["subject"])))
+            waiting.append((inner, rest))
+            continue
+        if not low.startswith("text"):
+            continue
+        encoding = headers.get("content-transfer-encoding", "").strip().lower()
+        if encoding.startswith("base6"):
+            charset = m.group(1) if (m := _CHARSET.search(kind)) else ""
+            body = _decode(b64(body), charset)
+        elif encoding.startswith("quoted"):
+            charset = m.group(1) if (m := _CHARSET.search(kind)) else ""
+            body = _decode(binascii.a2b_qp(body.encode("utf-8", "surrogatepass")), charset)
+        out.append(("text/html" if low.startswith("text/html") else "text/plain", body))
 
 
 def decode(text: str | None) -> tuple[str, list[str]]:
@@ -132,5 +136,5 @@ def decode(text: str | None) -> tuple[str, list[str]]:
         return "", []
     headers, body = _split(text)
     out: list[tuple[str, str]] = []
-    _parts(headers, body, out, 0)
+    _parts(headers, body, out)
     return repair(header_text(headers.get("subject", ""))), [repair(strip_html(t) if k == "text/html" else t) for k, t in out]

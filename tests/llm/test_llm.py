@@ -24,6 +24,19 @@ def test_decode_plain_and_encodings():
     assert mail.repair("imbÃ©cil caf​é") == "imbécil café"
 
 
+@pytest.mark.parametrize("depth", [11, 12, 13, 3000])
+def test_decode_deep_forwards(depth):
+    text = "Subject: innermost\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode(b"the leak").decode()
+    for i in range(depth):
+        text = f"Subject: s{i}\nContent-Type: message/rfc822\n\n" + text
+    subject, parts = mail.decode(text)
+    assert subject == f"s{depth - 1}" and parts == [*(f"s{i}" for i in reversed(range(depth - 1))), "innermost", "the leak"]
+    text = "Subject: m\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode(b"the leak").decode()
+    for i in range(min(depth, 30)):
+        text = f'Content-Type: multipart/mixed; boundary="b{i}"\n\n--b{i}\n{text}\n--b{i}\ntail {i}\n--b{i}--\n'
+    assert mail.decode(text)[1] == ["the leak", *(f"tail {i}" for i in range(min(depth, 30)))]
+
+
 def test_decode_multipart():
     inner = "--in\r\nContent-Type: text/plain\r\n\r\nplain\r\n--in\r\nContent-Type: text/html\r\n\r\n<p>ht<b>ml</b> &amp; more<br>x</p><style>p{}</style><!-- c -->\r\n--in--\r\n"
     text = (
