@@ -1,21 +1,24 @@
 """Problem 1: quantities recorded in different units, converted to the unit that ``unit_targets`` names.
 
-Hidden Markov model per device run and quantity, the unit as hidden state.  A row's observation is its number and what it says about
-its unit: in the value, the name, the unit's name or accession, or, for the quantity as a whole, in the run's remarks.  Emissions
-combine this evidence with how far the converted value lies, on a log scale, from the smooth underlying level (a running median of
-the values whose unit is stated); transitions make staying in a unit likelier than switching.  Viterbi decoding gives the units.
-
-Weights of evidence are parameters: a stated unit is certain, a remark holds for every row that states none, and where all is silent
-``silent`` is the weight of the target unit.  The default makes silence mean the target unit, as this project's data define it; with
-``silent=SOFT`` the jumps of the values decide.
-
-Sequences are cut into blocks of ``BLOCK`` scans, so that a device with a third of all rows is spread over tasks.  Rows are streamed
-in sorted order and no group is gathered beyond its block.  Where jumps decide, a sequence of several blocks is decoded as if it were
-whole: the nearest stated values on both sides of each block are carried to it, then the min-plus products of the blocks give the
-states in which the cheapest path crosses their edges.
-
-Null or unreadable values give number and converted value null; a quantity without target keeps its number; an unknown stated unit
-decodes as ``unknown`` and isn't converted.  Repeated rows are decoded alike.  Null run or accession: the row stands for itself.
+Hidden Markov model per device run and quantity, the unit as hidden state.  Numbers and what a row states about its unit (in the value,
+the name, the unit's name or accession) are read by native expressions and small joins; only numbers reach Python.  A unit that a row
+states, or that the run's remarks state for the quantity, is an observed state.  The states of the other rows are decoded by Viterbi:
+
+* where the sequence has observed states, they give the smooth level (running median of the values' logarithms) and its spread; a
+  silent row costs its distance from the level, in spreads, under each unit; the target unit has a prior weight, and switches cost;
+* where nothing is observed, the level is carried from row to row: a step costs the jump of the log value under the two rows' units in
+  spreads of the sequence, and the sequence begins in the target unit unless that costs more.
+
+So a silent row has the target unit unless its value, or a stretch of values, jumps by more than the scatter of the level explains.
+
+Sequences of more than ``BLOCK`` rows are cut into blocks, so that a device with a third of all rows is spread over tasks.  Rows are streamed
+in sorted order and no group is gathered beyond its block.  A sequence of several blocks is decoded as if it were whole: the nearest
+observed values on both sides of each block are carried to it, then the min-plus products of the blocks give the states in which the
+cheapest path crosses their edges.  Observed states cut the path, so only the rows between them are walked.
+
+Null or unreadable values give number and converted value null; a quantity without target is left out; a target whose unit is in no
+dimension known here gives rows with unit and converted value null and basis ``unsupported``; an unknown stated unit decodes as
+``unknown`` and isn't converted.  Repeated rows are decoded alike.  Null run: the row stands for itself.
 """
 
 from __future__ import annotations
@@ -27,20 +30,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.runtime import broadcast_if_small, stored
 
-#: Scans of one decoded block.
+#: Rows of a sequence that are decoded as one block; longer sequences are cut by scan into blocks of about so many.
 BLOCK = 4096
-STATED, REMARKED, CERTAIN, SOFT = 200.0, 100.0, 50.0, 1.5
-#: Cost of a switch of unit between successive rows, and of a unit of log distance from the level.
-SWITCH, SPREAD = 6.0, 1.0
-#: Most that a distance costs.
+#: Weight of the target unit in a row that says nothing: log odds against any other unit.  It exceeds two switches, so that a silent
+#: row among rows in another unit means the target unit unless its value jumps; ``SOFT`` doesn't.
+PRIOR, SOFT = 12.0, 1.5
+#: Cost of a switch of unit between successive rows.
+SWITCH = 3.0
+#: Most that a jump costs.
 FAR = 30.0
-#: Rows on either side that make up the level.
+#: Stated values on either side that make up the level.
 NEAR = 15
+#: Spread of log values that is assumed before values are seen, and the number of values that this counts for; the least spread.
+SPREAD, SPREAD_WEIGHT, LEAST_SPREAD = 1.5, 5.0, 0.05
+#: Bound on the targets.
+MAX_TARGETS = 10_000
 
 
 class Unit(NamedTuple):
@@ -195,111 +205,289 @@ def remark_units(remarks: str | None, names: dict[str, tuple[str, str]]) -> dict
     return out
 
 
-def stated_values(log_values: np.ndarray, stated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a stated unit and a value, and the log of that value."""
-    known = np.where(stated >= 0)[0]
-    x = log_values[known, stated[known]]
+FREE = -1
+
+
+class Seen(NamedTuple):
+    """A block: log of each row's value in the target unit, by unit (nan: none; the last column is the unknown unit), its observed state or ``FREE``, and the target."""
+
+    logs: np.ndarray
+    pinned: np.ndarray
+    target: int
+
+
+class Carried(NamedTuple):
+    """What a block knows of the others: the state before its first row and of its last (-1: free), whether it begins the sequence, whether any
+    row of the sequence is observed, the sequence's spread, the number before it, and the observed log values before and after."""
+
+    entry: int = -1
+    last: int = -1
+    first: bool = True
+    anchored: bool | None = None
+    spread: float = math.nan
+    previous: np.ndarray | None = None
+    before: list[float] = []
+    after: list[float] = []
+
+
+def observed_values(seen: Seen) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with an observed unit and a value, and the log of that value."""
+    known = np.flatnonzero(seen.pinned >= 0)
+    x = seen.logs[known, seen.pinned[known]]
     good = ~np.isnan(x)
     return known[good], x[good]
 
 
-def emissions(log_values: np.ndarray, evidence: np.ndarray, stated: np.ndarray, before: list[float] = (), after: list[float] = ()) -> np.ndarray:
-    """Cost of each state in each row; ``before`` and ``after`` are the nearest stated values of the neighbouring blocks."""
-    n = len(evidence)
-    level = np.full(n, np.nan)
-    known, x = stated_values(log_values, stated)
-    known = np.concatenate([np.full(len(before), -1), known, np.full(len(after), n)])
-    x = np.concatenate([np.array(before, float), x, np.array(after, float)])
-    if len(x):
-        at = np.clip(np.searchsorted(known, np.arange(n)), 0, len(x) - 1)
-        windows: dict[int, float] = {}
-        for i, c in enumerate(at.tolist()):
+def steps_of(seen: Seen) -> np.ndarray:
+    """Sizes, at most 1, of the steps between successive log values read in the target unit."""
+    x = seen.logs[:, seen.target]
+    return np.minimum(np.abs(np.diff(x[~np.isnan(x)])), 1.0)
+
+
+def spread_of(total: float, n: float) -> float:
+    return max(LEAST_SPREAD, total / n) if n else SPREAD
+
+
+def costs(seen: Seen, at: Carried, silent: float) -> tuple[np.ndarray, float]:
+    """Cost of each state in each free row, and the spread of jumps between rows (nan: rows are judged by the level)."""
+    n, k = seen.logs.shape
+    emit = np.zeros((n, k))
+    emit[:, k - 1] = 10 * FAR
+    known, x = observed_values(seen)
+    anchored = len(x) > 0 if at.anchored is None else at.anchored
+    if not anchored:
+        d = steps_of(seen)
+        return emit, spread_of(d.sum(), len(d)) if math.isnan(at.spread) else at.spread
+    free = np.flatnonzero(seen.pinned == FREE)
+    emit[free, seen.target] -= silent
+    known = np.concatenate([np.full(len(at.before), -1), known, np.full(len(at.after), n)])
+    x = np.concatenate([np.array(at.before, float), x, np.array(at.after, float)])
+    if len(x) and len(free):
+        level, spread = np.zeros(len(free)), np.ones(len(free))
+        places = np.clip(np.searchsorted(known, free), 0, len(x) - 1)
+        windows: dict[int, tuple[float, float]] = {}
+        for i, c in enumerate(places.tolist()):
             if c not in windows:
-                windows[c] = float(np.median(x[max(0, c - NEAR) : c + NEAR + 1]))
-            level[i] = windows[c]
-    distance = np.nan_to_num(np.abs(log_values - level[:, None]) / SPREAD, nan=0.0)
-    return np.minimum(distance, FAR) - evidence
-
+                w = x[max(0, c - NEAR) : c + NEAR + 1]
+                mid = float(np.median(w))
+                windows[c] = mid, max(LEAST_SPREAD, (float(np.abs(w - mid).sum()) + SPREAD * SPREAD_WEIGHT) / (len(w) + SPREAD_WEIGHT))
+            level[i], spread[i] = windows[c]
+        distance = np.abs(seen.logs[free] - level[:, None]) / spread[:, None]
+        emit[free] += np.minimum(np.nan_to_num(distance, nan=0.0), FAR)
+    return emit, math.nan
+
+
+class Walk:
+    """Min-plus steps over the rows of a block."""
+
+    def __init__(self, seen: Seen, at: Carried, silent: float) -> None:
+        self.seen, self.at = seen, at
+        self.emit, self.spread = costs(seen, at, silent)
+        self.k = self.emit.shape[1]
+        self.switch = np.where(np.eye(self.k, dtype=bool), 0.0, SWITCH)
+        self.start = np.where(np.arange(self.k) == seen.target, 0.0, 0.0 if math.isnan(self.spread) else silent)
+
+    def step(self, i: int, x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Transition costs into row ``i`` and the last values so far (``x``: those before it)."""
+        if math.isnan(self.spread):
+            return self.switch, None
+        now = self.seen.logs[i]
+        if np.isnan(now).all():
+            return self.switch, x
+        if x is None:
+            return self.switch, now
+        return self.switch + np.minimum(np.nan_to_num(np.abs(now[None, :] - x[:, None]) / self.spread, nan=FAR), FAR), now
+
+    def path(self) -> np.ndarray:
+        """States of the cheapest path."""
+        pinned, n = self.seen.pinned, len(self.seen.pinned)
+        out = pinned.copy()
+        free = np.flatnonzero(pinned == FREE)
+        if not len(free):
+            return out
+        breaks = np.flatnonzero(np.diff(free) > 1)
+        for a, b in zip(free[np.r_[0, breaks + 1]].tolist(), free[np.r_[breaks, len(free) - 1]].tolist(), strict=True):
+            before = int(pinned[a - 1]) if a else self.at.entry
+            after = int(pinned[b + 1]) if b + 1 < n else -1
+            last = self.at.last if b + 1 == n else -1
+            out[a : b + 1] = self._segment(a, b, before, after, last, bool(a))
+        return out
 
-def crossing(emit: np.ndarray) -> np.ndarray:
-    """Min-plus product of a block: the cheapest path's cost from each state before it to each state of its last row."""
-    cost = np.full((emit.shape[1], emit.shape[1]), np.inf)
-    np.fill_diagonal(cost, 0.0)
-    for row in emit:
-        cost = np.minimum(cost, cost.min(axis=1, keepdims=True) + SWITCH) + row
-    return cost
+    def _segment(self, a: int, b: int, before: int, after: int, last: int, inner: bool) -> list[int]:
+        x = None if inner else self.at.previous
+        move, x = self.step(a, x)
+        cost = self.emit[a] + (self.start if before < 0 else move[before])
+        back = []
+        for i in range(a + 1, b + 1):
+            move, x = self.step(i, x)
+            total = cost[:, None] + move
+            best = total.argmin(axis=0)
+            stay = total.diagonal() <= total.min(axis=0)
+            back.append(np.where(stay, np.arange(self.k), best))
+            cost = total.min(axis=0) + self.emit[i]
+        if after >= 0:
+            cost = cost + self.switch[:, after]
+        state = last if last >= 0 else int(cost.argmin())
+        path = [state]
+        for f in reversed(back):
+            state = int(f[state])
+            path.append(state)
+        return path[::-1]
+
+    def product(self) -> np.ndarray:
+        """The cheapest path's cost from each state before the block to each state of its last row."""
+        pinned, n = self.seen.pinned, len(self.seen.pinned)
+        cost = np.full((self.k, self.k), np.inf)
+        np.fill_diagonal(cost, 0.0)
+        known = np.flatnonzero(pinned >= 0)
+        if not len(known):
+            return self._over(cost, 0, n, self.at.previous)
+        lead = self._over(cost, 0, int(known[0]), self.at.previous)
+        lead = (lead + self.switch[:, pinned[known[0]]]).min(axis=1)
+        begin = np.full((1, self.k), np.inf)
+        begin[0, pinned[known[-1]]] = 0.0
+        return lead[:, None] + self._over(begin, int(known[-1]) + 1, n, None)
+
+    def _over(self, cost: np.ndarray, a: int, b: int, x: np.ndarray | None) -> np.ndarray:
+        for i in range(a, b):
+            move, x = self.step(i, x)
+            if i == 0 and self.at.first:
+                cost = np.where(np.eye(self.k, dtype=bool), self.start, np.inf) + self.emit[0]
+            else:
+                cost = (cost[:, :, None] + move[None]).min(axis=1) + self.emit[i]
+        return cost
 
 
 def edges(products: list[np.ndarray]) -> list[tuple[int, int]]:
     """For each block of a sequence the state before it (-1: the sequence begins) and the state of its last row on the cheapest path."""
-    costs = [products[0].min(axis=0)]  # any state may come before the first row
+    best = [products[0].min(axis=0)]  # any state may come before the first row
     for m in products[1:]:
-        c = (costs[-1][:, None] + m).min(axis=0)
-        costs.append(c - c.min())
+        c = (best[-1][:, None] + m).min(axis=0)
+        best.append(c - c.min())
     out = []
-    last = int(costs[-1].argmin())
+    last = int(best[-1].argmin())
     for b in range(len(products) - 1, 0, -1):
-        entry = int((costs[b - 1] + products[b][:, last]).argmin())
+        entry = int((best[b - 1] + products[b][:, last]).argmin())
         out.append((entry, last))
         last = entry
     return [(-1, last), *reversed(out)]
 
 
-def viterbi(log_values: np.ndarray, evidence: np.ndarray, stated: np.ndarray, before: list[float] = (), after: list[float] = (), entry: int = -1, last: int = -1) -> np.ndarray:
-    """States of the cheapest path.  ``log_values``: rows by units, the log of the converted value (nan: no evidence).
+# ---- native reading of numbers and units -----------------------------------------------------------------------------------------------
+
+
+def _spelt(text: Column) -> Column:
+    """As ``spelling``."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), "μ.", "µ "), r"[\s\u00a0\u2009\u202f]+", " "))
+
+
+def _number(text: Column) -> Column:
+    """As ``_float``."""
+    text = F.translate(text, "−", "-")
+    comma_last = text.rlike(r",[^.,]*$")
+    both = F.contains(text, F.lit(",")) & F.contains(text, F.lit("."))
+    plain = F.when(both & comma_last, F.translate(text, ".", "")).when(both, F.translate(text, ",", "")).otherwise(text)
+    x = F.translate(plain, ",", ".").try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _literal(spark: SparkSession, rows: list[tuple[str, str, int]], names: str) -> DataFrame:
+    """A small fixed table as a local relation."""
+    cell = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)} AS t({names})"))
+
+
+def _scan() -> Column:
+    """The last number of a spectrum's id, else the parameter's id."""
+    return F.coalesce(F.regexp_extract("spectrum_id", r"(\d+)\D*$", 1).try_cast("long"), F.col("param_id").cast("long"))
+
+
+def observations(cv_params: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """``param_id, run_id, accession, dimension, scan, number, stated``: what each row says; ``stated`` is the unit's index in its dimension, -1 for
+    an unknown one, null if the row states none.  ``dimensions``: ``(accession, dimension)`` of the targets."""
+    spark = cv_params.sparkSession
+    spellings = sorted({(d, spelling(x), k) for d, us in DIMENSIONS.items() for k, u in enumerate(us) for x in u.spellings.split("|")})
+    accessions = sorted((d, a, k) for d, own in _ACCESSIONS.items() for a, k in own.items())
+    value = F.coalesce(F.col("value"), F.lit(""))
+    duration = r"(?i)^\s*PT(?:([\d.,]+)H)?(?:([\d.,]+)M)?(?:([\d.,]+)S)?\s*$"
+    number = r"(?s)^\s*([+\-−]?\d[\d.,]*(?:[eE][+-]?\d+)?|[+\-−]?[.,]\d+(?:[eE][+-]?\d+)?)\s*(.*?)\s*$"
+    rows = cv_params.select(
+        F.col("param_id").cast("long").alias("param_id"), F.col("run_id").cast("long").alias("run_id"), "accession", _scan().alias("scan"),
+        *[F.regexp_extract(value, duration, k).alias(x) for k, x in ((1, "h"), (2, "m"), (3, "s"))],
+        F.regexp_extract(value, number, 1).alias("digits"), F.regexp_extract(value, number, 2).alias("behind"),
+        _spelt(F.coalesce("unit_name", F.lit(""))).alias("unit_name"), F.trim(F.coalesce("unit_accession", F.lit(""))).alias("unit_accession"),
+        _spelt(F.regexp_extract(F.coalesce("name", F.lit("")), r"[\[(]([^\[\]()]*)[\])]\s*$", 1)).alias("suffix"),
+    ).join(F.broadcast(dimensions), "accession")
+    parts = [_number(F.col(x)) for x in ("h", "m", "s")]
+    broken = F.greatest(*[((F.col(x) != "") & p.isNull()).cast("int") for x, p in zip(("h", "m", "s"), parts, strict=True)]) > 0
+    n = sum(((F.col(x) != "").cast("int") for x in ("h", "m", "s")), F.lit(0))
+    total = sum((F.coalesce(p, F.lit(0.0)) * f for p, f in zip(parts, (3600, 60, 1), strict=True)), F.lit(0.0))
+    rows = rows.withColumns({
+        "number": F.when(broken, F.lit(None).cast("double")).when(n == 1, F.coalesce(*parts)).when(n > 1, total).otherwise(_number(F.col("digits"))),
+        "tail": F.when(broken, "").when(n > 1, "s").when(F.col("h") != "", "h").when(F.col("m") != "", "min").when(F.col("s") != "", "s").otherwise(_spelt(F.col("behind"))),
+    })
+    rows = rows.join(_literal(spark, accessions, "dimension, unit_accession, by_accession"), ["dimension", "unit_accession"], "left")
+    for text in ("unit_name", "tail", "suffix"):
+        rows = rows.join(_literal(spark, spellings, f"dimension, {text}, by_{text}"), ["dimension", text], "left")
+    unknown = F.when((F.col("unit_accession") != "") | (F.col("unit_name") != ""), -1)
+    return rows.select("param_id", "run_id", "accession", "dimension", "scan", "number", F.coalesce("by_accession", "by_unit_name", "by_tail", "by_suffix", unknown).alias("stated"))
+
+
+# ---- decoding --------------------------------------------------------------------------------------------------------------------------
+
+_OUT = "param_id long, run_id long, accession string, scan long, number double, unit string, target_unit string, target_value double, basis string"
+_DOUBLES = pa.list_(pa.float64())
+_KEYS = ["run_id", "accession", "block"]
+_BLOCK_KEY = [("run_id", pa.int64()), ("accession", pa.string()), ("block", pa.int64())]
 
-    ``entry`` is the state before the first row and ``last`` that of the last row, -1 where they are free.
-    """
-    n, k = evidence.shape
-    emit = emissions(log_values, evidence, stated, before, after)
-    back = np.zeros((n, k), np.int8)
-    cost = emit[0] if entry < 0 else emit[0] + np.where(np.arange(k) == entry, 0.0, SWITCH)
-    for i in range(1, n):
-        best = int(cost.argmin())
-        move = cost[best] + SWITCH
-        back[i] = np.where(cost <= move, np.arange(k), best)
-        cost = np.minimum(cost, move) + emit[i]
-    path = np.zeros(n, np.int64)
-    path[-1] = int(cost.argmin()) if last < 0 else last
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
-
-
-def by_key(n_keys: int, solve: Callable[[tuple, list[tuple]], list[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``solve`` for each run of rows that are equal in their first columns; rows are passed without these."""
+
+Bounds = list[tuple[int, int]]
+
+
+def by_run(n_keys: int, solve: Callable[[pa.Table, Bounds], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``solve`` for tables of whole runs of rows that are equal in their first columns, with the runs' bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        group: list[tuple] = []
-        emit = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema.names)
+        held: pa.Table | None = None
         for b in batches:
-            done: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:n_keys] != key:
-                    if group:
-                        done += solve(key, group)
-                    key, group = row[:n_keys], []
-                group.append(row[n_keys:])
-            yield emit(done)
-        if group:
-            yield emit(solve(key, group))
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            t = t.combine_chunks()
+            if not t.num_rows:
+                continue
+            new = np.zeros(t.num_rows, bool)
+            for c in t.columns[:n_keys]:
+                codes = pc.fill_null(c.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            cuts = np.flatnonzero(new).tolist()
+            held = t.slice(cuts[-1] if cuts else 0)
+            if cuts:
+                yield from solve(t.slice(0, cuts[-1]), list(zip([0, *cuts], cuts, strict=False))).to_batches()
+        if held is not None:
+            yield from solve(held, [(0, held.num_rows)]).to_batches()
 
     return run
 
 
-_OUT = "param_id long, run_id long, accession string, scan long, number double, unit string, target_unit string, target_value double, basis string"
+def _floats(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column, math.nan).to_numpy()
+
 
+def _ints(column: pa.ChunkedArray, null: int) -> np.ndarray:
+    return pc.fill_null(column, null).to_numpy()
 
-def decode(cv_params: DataFrame, runs: DataFrame, targets: DataFrame, silent: float = CERTAIN) -> DataFrame:
+
+def decode(cv_params: DataFrame, runs: DataFrame, targets: DataFrame, silent: float = PRIOR) -> DataFrame:
     """One row per cv_param whose accession has a target: number, decoded unit, value in the target unit and what the unit rests on
-    (``row``, ``remark``, ``silent``)."""
-    rows = targets.select("accession", "name", "target_unit_accession").where("accession IS NOT NULL").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 targets")
+    (``row``, ``remark``, ``silent``, ``unsupported``)."""
+    spark = cv_params.sparkSession
+    rows = targets.select("accession", "name", "target_unit_accession").where("accession IS NOT NULL").limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     names = {r["accession"]: (r["name"], d) for r in rows if (d := dimension_of(r["target_unit_accession"]))}
-    #: The target's position among the units of its dimension, and its factor and offset.
+    #: The target's position among the units of its dimension.
     goal = {r["accession"]: _ACCESSIONS[names[r["accession"]][1]][r["target_unit_accession"]] for r in rows if r["accession"] in names}
+    table = {a: _conversion(d, goal[a]) for a, (_, d) in names.items()}
 
     def remarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,117 +496,176 @@ def decode(cv_params: DataFrame, runs: DataFrame, targets: DataFrame, silent: fl
 
     said = runs.select(F.col("run_id").cast("long"), "remarks").where("remarks IS NOT NULL").mapInArrow(remarks, "run_id long, accession string, remarked int")
     said = said.groupBy("run_id", "accession").agg(F.min("remarked").alias("remarked"))
-    scan = F.regexp_extract("spectrum_id", r"(\d+)\D*$", 1).try_cast("long")
-    params = cv_params.where(F.col("accession").isin(list(names))).select(
-        F.col("param_id").cast("long"), F.col("run_id").cast("long"), "accession", F.coalesce(scan, F.col("param_id")).alias("scan"), "name", "value", "unit_name", "unit_accession"
-    )
-    block = F.when(F.col("run_id").isNull(), F.col("param_id")).otherwise(F.floor(F.col("scan") / BLOCK))
-    ordered = params.join(broadcast_if_small(said), ["run_id", "accession"], "left").withColumn("block", block)
-    keys = ["run_id", "accession", "block"]
-    ordered = ordered.select("param_id", *keys, "scan", "name", "value", "unit_name", "unit_accession", "remarked").withColumn("carried", F.lit(None).cast("array<double>"))
+    wanted = spark.createDataFrame([(r["accession"], names.get(r["accession"], (None, None))[1]) for r in {r["accession"]: r for r in rows}.values()], "accession string, dimension string")
+    seen = observations(cv_params, wanted)
+    known = seen.where("dimension IS NOT NULL")
+    counted = cv_params.select(F.col("run_id").cast("long").alias("run_id"), "accession", _scan().alias("scan")).where("run_id IS NOT NULL").join(F.broadcast(wanted.where("dimension IS NOT NULL")), "accession")
+    scans = counted.groupBy("run_id", "accession").agg(F.count(F.lit(1)).alias("n"), F.min("scan").alias("lo"), F.max("scan").alias("hi"))
+    several = stored(scans.where(F.col("n") > BLOCK).select("run_id", "accession", "lo", F.ceil((F.col("hi") - F.col("lo") + 1) * BLOCK / F.col("n")).alias("width")))
+    cut = not several.isEmpty()
+    if cut:
+        known = known.join(broadcast_if_small(several), ["run_id", "accession"], "left")
+    place = F.coalesce(F.floor((F.col("scan") - F.col("lo")) / F.col("width")), F.lit(0)) if cut else F.lit(0)
+    ordered = known.join(broadcast_if_small(said), ["run_id", "accession"], "left").withColumn("block", F.when(F.col("run_id").isNull(), F.col("param_id")).otherwise(place).cast("long"))
+    ordered = ordered.select(*_KEYS, "param_id", "scan", "number", "stated", "remarked", F.lit(None).cast("array<double>").alias("carried"))
 
     def sequenced(df: DataFrame) -> DataFrame:
-        return df.repartition(*keys).sortWithinPartitions(*keys, F.col("scan").asc_nulls_first(), "param_id").select(*keys, "param_id", "scan", "name", "value", "unit_name", "unit_accession", "remarked", "carried")
-
-    def observed(accession: str, group: list[tuple]) -> tuple:
-        dimension = names[accession][1]
-        units = DIMENSIONS[dimension]
-        k, target = len(units), goal[accession]
-        numbers, stated, basis = [], [], []
-        evidence = np.zeros((len(group), k + 1))  # the last state is the unknown unit
-        evidence[:, k] = -CERTAIN
-        for i, (_, _, name, value, unit_name, unit_accession, remarked, _) in enumerate(group):
-            x, tail = number_and_unit(value, dimension)
-            u = stated_unit(dimension, tail, name, unit_name, unit_accession)
-            if u is not None:
-                evidence[i, u] += STATED
-            elif remarked is not None:
-                evidence[i, remarked] += REMARKED
-            else:
-                evidence[i, target] += silent
-            numbers.append(x)
-            stated.append(-1 if u is None else u)
-            basis.append("row" if u is not None else "remark" if remarked is not None else "silent")
-        x = np.array([math.nan if v is None else v for v in numbers])
-        to, off = units[target].factor, units[target].offset
-        converted = np.stack([(x * u.factor + u.offset - off) / to for u in units] + [np.full(len(x), np.nan)], 1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            logs = np.where(converted > 0, np.log(np.where(converted > 0, converted, 1.0)), np.nan)
-        return numbers, converted, basis, (logs, evidence, np.array([s if 0 <= s < k else -1 for s in stated]))
-
-    def opened(group: list[tuple]) -> tuple[list[tuple], dict]:
-        """A block's rows and what is carried to it, which a row without an id holds."""
-        if group[0][0] is not None:
-            return group, {}
-        entry, last, n, *x = group[0][-1]
-        return group[1:], {"entry": int(entry), "last": int(last), "before": x[: int(n)], "after": x[int(n) :]}
-
-    def solve(key: tuple, group: list[tuple]) -> list[tuple]:
-        run, accession, _ = key
-        group, carried = opened(group)
-        numbers, converted, basis, seen = observed(accession, group)
-        units, target = DIMENSIONS[names[accession][1]], goal[accession]
-        k = len(units)
-        path = viterbi(*seen, **carried)
-        out = []
-        for i, g in enumerate(group):
-            p = int(path[i])
-            value = None if p == k or numbers[i] is None or math.isnan(converted[i, p]) else float(converted[i, p])
-            out.append((g[0], run, accession, g[1], numbers[i], "unknown" if p == k else units[p].name, units[target].name, value, basis[i]))
-        return out
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string(), pa.float64(), pa.string()]
-    labels = [part.split()[0] for part in _OUT.split(", ")]
-    if silent <= FAR + 2 * SWITCH:  # else no row depends on another
-        several = ordered.where("run_id IS NOT NULL").groupBy("run_id", "accession").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo < hi").select("run_id", "accession")
-        several = stored(several)
-        if not several.isEmpty():
-            ordered = ordered.unionByName(_carried(sequenced, ordered.join(several, ["run_id", "accession"], "left_semi"), observed, opened), allowMissingColumns=True)
-    return sequenced(ordered).mapInArrow(by_key(3, solve, pa.schema(list(zip(labels, kinds, strict=True)))), _OUT)
-
-
-_BLOCK_KEY = [("run_id", pa.int64()), ("accession", pa.string()), ("block", pa.int64())]
-_DOUBLES = pa.list_(pa.float64())
-
-
-def _carried(sequenced: Callable, rows: DataFrame, observed: Callable, opened: Callable) -> DataFrame:
-    """``(run_id, accession, block, carried)``: for each block the states at its edges, the number of values before it, and the stated values before and after it."""
+        return df.repartition(*_KEYS).sortWithinPartitions(*_KEYS, F.col("carried").isNull(), F.col("scan").asc_nulls_first(), "param_id")
+
+    def solve(t: pa.Table, bounds: Bounds) -> pa.Table:
+        v = View(t, table)
+        states = v.states.copy()
+        for a, z in bounds:
+            a, seen, at = v.block(a, z)
+            if a < z and (seen.pinned == FREE).any():
+                states[a:z] = Walk(seen, at, silent).path()
+        rows = np.flatnonzero(~v.carries)
+        t, states, codes = t.take(rows), states[rows], v.codes[rows]
+        labels = [[*(u.name for u in DIMENSIONS[names[a][1]]), "unknown"] for a in v.accessions]
+        flat = pa.array([x for own in labels for x in own], pa.string())
+        base = np.cumsum([0, *map(len, labels)])[:-1] if labels else np.zeros(0, int)
+        goals = np.array([table[a][2] for a in v.accessions], int)
+        basis = pa.array(["silent", "remark", "row"]).take(pa.array(np.where(t.column("stated").is_valid(), 2, np.where(t.column("remarked").is_valid(), 1, 0))))
+        value = pa.array(v.converted[rows, states], pa.float64(), from_pandas=True)
+        keep = [t.column(c) for c in ("param_id", "run_id", "accession", "scan", "number")]
+        return pa.table([*keep, flat.take(pa.array(base[codes] + states)), flat.take(pa.array(base[codes] + goals[codes])), value, basis], names=[x.split()[0] for x in _OUT.split(", ")])
+
+    if cut:
+        ordered = ordered.unionByName(_carried(sequenced, ordered.join(several, ["run_id", "accession"], "left_semi"), table, silent), allowMissingColumns=True)
+    done = sequenced(ordered).mapInArrow(by_run(3, solve), _OUT)
+    if len(names) == len({r["accession"] for r in rows}):
+        return done
+    null = F.lit(None).cast("string")
+    rest = seen.where("dimension IS NULL").select("param_id", "run_id", "accession", "scan", "number", null.alias("unit"), null.alias("target_unit"), F.lit(None).cast("double").alias("target_value"), F.lit("unsupported").alias("basis"))
+    return done.unionByName(rest)
+
+
+def _conversion(dimension: str, target: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Factors and offsets from each unit, and from an unknown one, to the target."""
+    units = DIMENSIONS[dimension]
+    to = units[target]
+    return np.array([*(u.factor / to.factor for u in units), math.nan]), np.array([*((u.offset - to.offset) / to.factor for u in units), math.nan]), target
+
+
+def _logs(converted: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(converted > 0, np.log(np.where(converted > 0, converted, 1.0)), np.nan)
+
+
+class View:
+    """A table's rows as arrays: values in the target unit under each unit and under an unknown one, and observed states."""
+
+    def __init__(self, t: pa.Table, table: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> None:
+        self.t, self.table = t, table
+        coded = t.column("accession").combine_chunks().dictionary_encode()
+        self.accessions = coded.dictionary.to_pylist()
+        self.codes = coded.indices.to_numpy()
+        width = max((len(table[a][0]) for a in self.accessions), default=1)
+        pad = lambda x: np.concatenate([x, np.full(width - len(x), math.nan)])
+        factor = np.array([pad(table[a][0]) for a in self.accessions]).reshape(-1, width)
+        offset = np.array([pad(table[a][1]) for a in self.accessions]).reshape(-1, width)
+        self.x = _floats(t.column("number"))
+        self.converted = self.x[:, None] * factor[self.codes] + offset[self.codes]
+        self.logs = _logs(self.converted)
+        unknown = np.array([len(table[a][0]) - 1 for a in self.accessions], int)[self.codes]
+        stated = _ints(t.column("stated"), -2)
+        self.states = np.where(stated == -2, _ints(t.column("remarked"), FREE), np.where(stated == -1, unknown, stated))
+        #: Rows that hold what is carried to a block; such a row comes first in its block.
+        self.carries = t.column("carried").is_valid().to_numpy()
+
+    def block(self, a: int, z: int) -> tuple[int, Seen, Carried]:
+        """The first row of a block that isn't its carrier, its rows, and what is carried to it."""
+        factor, offset, target = self.table[self.accessions[self.codes[a]]]
+        at = Carried()
+        if self.carries[a]:
+            at = _unpacked(self.t.column("carried")[a].as_py(), factor, offset)
+            a += 1
+        return a, Seen(self.logs[a:z, : len(factor)], self.states[a:z], target), at
+
+
+def _unpacked(x: list[float], factor: np.ndarray, offset: np.ndarray) -> Carried:
+    entry, last, first, anchored, spread, previous, n = x[:7]
+    n = 7 + int(n)
+    before = None if math.isnan(previous) else _logs(previous * factor + offset)
+    return Carried(int(entry), int(last), bool(first), bool(anchored), spread, before, x[7:n], x[n:])
+
+
+def _carried(sequenced: Callable, rows: DataFrame, table: dict[str, tuple[np.ndarray, np.ndarray, int]], silent: float) -> DataFrame:
+    """``(run_id, accession, block, carried)``: for each block of sequences of several blocks what ``Carried`` holds."""
     reach = NEAR + 1
 
-    def summary(key: tuple, group: list[tuple]) -> list[tuple]:
-        logs, _, stated = observed(key[1], group)[3]
-        x = stated_values(logs, stated)[1].tolist()
-        return [(*key, x[:reach], x[-reach:])]
-
-    def levels(key: tuple, blocks: list[tuple]) -> list[tuple]:
-        before, out = [], []
-        for _, _, tail in blocks:
-            out.append(before)
-            before = (before + tail)[-reach:]
-        after: list[float] = []
-        for i in range(len(blocks) - 1, -1, -1):
-            out[i] = (*key, blocks[i][0], [-1.0, -1.0, len(out[i]), *out[i], *after])
-            after = (blocks[i][1] + after)[:reach]
-        return out
-
-    def product(key: tuple, group: list[tuple]) -> list[tuple]:
-        carried = group[0][-1]
-        group, at = opened(group)
-        return [(*key, carried, crossing(emissions(*observed(key[1], group)[3], at["before"], at["after"])).ravel().tolist())]
-
-    def joined(key: tuple, blocks: list[tuple]) -> list[tuple]:
-        k = math.isqrt(len(blocks[0][2]))
-        states = edges([np.array(b[2]).reshape(k, k) for b in blocks])
-        return [(*key, b[0], [float(entry), float(last), *b[1][2:]]) for b, (entry, last) in zip(blocks, states, strict=True)]
+    def key_of(t: pa.Table, a: int) -> tuple:
+        return tuple(t.column(c)[a].as_py() for c in _KEYS)
+
+    def as_table(out: list[tuple], schema: pa.Schema) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    sums_schema = pa.schema([*_BLOCK_KEY, ("head", _DOUBLES), ("tail", _DOUBLES), ("steps", _DOUBLES)])
+    carried_schema = pa.schema([*_BLOCK_KEY, ("carried", _DOUBLES)])
+    product_schema = pa.schema([*carried_schema, ("product", _DOUBLES)])
+
+    def summary(t: pa.Table, bounds: Bounds) -> pa.Table:
+        v, out = View(t, table), []
+        for a, z in bounds:
+            _, seen, _ = v.block(a, z)
+            values, d = observed_values(seen)[1].tolist(), steps_of(seen)
+            logs = seen.logs[:, seen.target]
+            there = ~np.isnan(logs)
+            ends = [float(logs[there][0]), float(logs[there][-1]), float(v.x[a:z][there][-1])] if there.any() else [math.nan] * 3
+            out.append((*key_of(t, a), values[:reach], values[-reach:], [float(d.sum()), float(len(d)), *ends]))
+        return as_table(out, sums_schema)
+
+    def levels(t: pa.Table, bounds: Bounds) -> pa.Table:
+        done: list[tuple] = []
+        for a, z in bounds:
+            blocks = t.slice(a, z - a).to_pylist()
+            total = n = 0.0
+            near, last, previous = [], math.nan, []
+            before: list[float] = []
+            number = math.nan
+            for b in blocks:
+                s, m, first_log, last_log, last_number = b["steps"]
+                total, n = total + s, n + m
+                if not math.isnan(first_log):
+                    if not math.isnan(last):
+                        total, n = total + min(1.0, abs(first_log - last)), n + 1
+                near.append(before)
+                previous.append(number)
+                if not math.isnan(first_log):
+                    last, number = last_log, last_number
+                before = (before + b["tail"])[-reach:]
+            after: list[float] = []
+            anchored = float(any(b["head"] for b in blocks))
+            for i in range(len(blocks) - 1, -1, -1):
+                b = blocks[i]
+                done.append((b["run_id"], b["accession"], b["block"], [-1.0, -1.0, float(i == 0), anchored, spread_of(total, n), previous[i], float(len(near[i])), *near[i], *after]))
+                after = (b["head"] + after)[:reach]
+        return as_table(done, carried_schema)
+
+    def product(t: pa.Table, bounds: Bounds) -> pa.Table:
+        v, out = View(t, table), []
+        for a, z in bounds:
+            _, seen, at = v.block(a, z)
+            out.append((*key_of(t, a), t.column("carried")[a].as_py(), Walk(seen, at, silent).product().ravel().tolist()))
+        return as_table(out, product_schema)
+
+    def joined(t: pa.Table, bounds: Bounds) -> pa.Table:
+        out = []
+        for a, z in bounds:
+            blocks = t.slice(a, z - a).to_pylist()
+            k = math.isqrt(len(blocks[0]["product"]))
+            states = edges([np.array(b["product"]).reshape(k, k) for b in blocks])
+            out += [(b["run_id"], b["accession"], b["block"], [float(entry), float(last), *b["carried"][2:]]) for b, (entry, last) in zip(blocks, states, strict=True)]
+        return as_table(out, carried_schema)
 
     def by_sequence(df: DataFrame) -> DataFrame:
         return df.repartition("run_id", "accession").sortWithinPartitions("run_id", "accession", "block")
 
-    key, out = "run_id long, accession string, block long, ", pa.schema([*_BLOCK_KEY, ("carried", _DOUBLES)])
-    sums = sequenced(rows).mapInArrow(by_key(3, summary, pa.schema([*_BLOCK_KEY, ("head", _DOUBLES), ("tail", _DOUBLES)])), key + "head array<double>, tail array<double>")
-    near = by_sequence(sums).mapInArrow(by_key(2, levels, out), key + "carried array<double>")
-    products = sequenced(rows.unionByName(near, allowMissingColumns=True)).mapInArrow(by_key(3, product, pa.schema([*out, ("product", _DOUBLES)])), key + "carried array<double>, product array<double>")
-    return stored(by_sequence(products).mapInArrow(by_key(2, joined, out), key + "carried array<double>"))
+    key = "run_id long, accession string, block long, "
+    sums = sequenced(rows).mapInArrow(by_run(3, summary), key + "head array<double>, tail array<double>, steps array<double>")
+    near = by_sequence(sums).mapInArrow(by_run(2, levels), key + "carried array<double>")
+    products = sequenced(rows.unionByName(near, allowMissingColumns=True)).mapInArrow(by_run(3, product), key + "carried array<double>, product array<double>")
+    return stored(by_sequence(products).mapInArrow(by_run(2, joined), key + "carried array<double>"))
 
 
 def found(cv_params: DataFrame, runs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -427,5 +674,5 @@ def found(cv_params: DataFrame, runs: DataFrame, targets: DataFrame) -> DataFram
 
 
 def switches(cv_params: DataFrame, runs: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(run_id, accession, unit, basis, n, n_converted)``: what each run used, jumps of the values deciding where nothing is said."""
+    """``(run_id, accession, unit, basis, n, n_converted)``: what each run used, with little weight on the target unit where nothing is said."""
     return decode(cv_params, runs, targets, silent=SOFT).groupBy("run_id", "accession", "unit", "basis").agg(F.count(F.lit(1)).alias("n"), F.count("target_value").alias("n_converted"))

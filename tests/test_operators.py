@@ -1,7 +1,9 @@
 import json
+import math
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,52 @@ def test_blocks_decode_like_whole_sequences(spark, monkeypatch):
     assert {r.param_id: r for r in units.decode(*tables, silent=units.SOFT).collect()} == whole
 
 
+def silent_jump(n=399, at=200):
+    """Silent scan times that rise slowly and jump by a factor of 60 at row ``at``."""
+    return [(i, 1, f"scan={i}", "MS:1000016", "t", str((600 + i / 10 + i % 3) / (60 if i >= at else 1)), None, None) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_a_silent_jump_is_a_switch(spark, monkeypatch, block):
+    monkeypatch.setattr(units, "BLOCK", block)
+    got = {r.param_id: (r.unit, r.basis) for r in units.decode(*unit_tables(spark, silent_jump(), [(1, None)])).collect()}
+    assert {i for i, (u, _) in got.items() if u == "minute"} == set(range(200, 399)) and {b for _, b in got.values()} == {"silent"}
+
+
+def test_without_viterbi_the_jump_is_lost():
+    """Ablation: the cheapest state of each row by itself is the target unit everywhere."""
+    factor, offset, target = units._conversion("time", 0)
+    x = np.array([float(r[5]) for r in silent_jump()])
+    seen = units.Seen(units._logs(x[:, None] * factor + offset), np.full(len(x), units.FREE), target)
+    emit, _ = units.costs(seen, units.Carried(), units.PRIOR)
+    assert set(emit.argmin(axis=1).tolist()) == {target} and len(set(units.Walk(seen, units.Carried(), units.PRIOR).path().tolist())) == 2
+
+
+def test_noisy_silence_means_the_target(spark):
+    """Values that scatter as widely as the units differ aren't decoded as switches."""
+    rng = random.Random(4)
+    rows_ = [(i, 1, f"scan={i}", "MS:1000016", "t", str(math.exp(rng.uniform(1.6, 8.8))), "UO:0000031" if i % 20 == 5 else "UO:0000010" if i % 3 else None, None) for i in range(600)]
+    got = {r.param_id: r.unit for r in units.decode(*unit_tables(spark, rows_, [(1, None)])).collect()}
+    assert {got[i] for i in range(600) if rows_[i][6] is None} == {"second"}
+
+
+def test_native_reading_agrees_with_python(spark):
+    values = [None, "", "n/a", "12", "1,5 min", "1.234,5x", "1,234.5", "-3e2eV", "PT2.5M", "PT1H30M", "pt5s", "7 x 10^3 counts", "−4 °C", "P", "PT", "PT1.2.3H", " 5  S ", "1.2.3", "3 Micro sec", ".5h", "1e999", "5 μs"]
+    cells = [(v, n, u, a) for v in values for n in (None, "scan [hrs]", "scan (odd)") for u in (None, " Sec. ", "parsecs", "") for a in (None, "UO:0000031 ", "UO:9")]
+    df = spark.createDataFrame([(i, 1, None, "MS:1", n, v, a, u) for i, (v, n, u, a) in enumerate(cells)], "param_id long, run_id long, spectrum_id string, accession string, name string, value string, unit_accession string, unit_name string")
+    got = {r.param_id: (r.number, r.stated) for r in units.observations(df, spark.createDataFrame([("MS:1", "time")], "accession string, dimension string")).collect()}
+    for i, (v, n, u, a) in enumerate(cells):
+        x, tail = units.number_and_unit(v, "time")
+        assert got[i] == (x, units.stated_unit("time", tail, n, u, a)), cells[i]
+
+
+def test_an_unsupported_target_keeps_its_rows(spark):
+    cv, runs, targets = unit_tables(spark, [(1, 1, "scan=1", "MS:7", "flow", "3 ul/min", None, None)], [(1, None)])
+    targets = targets.unionByName(spark.createDataFrame([("MS:7", "flow", "UO:0000271")], targets.schema))
+    assert [(r.number, r.unit, r.target_value, r.basis) for r in units.decode(cv, runs, targets).collect()] == [(3.0, None, None, "unsupported")]
+    assert units.found(cv, runs, targets).count() == 0
+
+
 # ---- p5 ------------------------------------------------------------------------------------------------------------------------------
 
 
