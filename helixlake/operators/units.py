@@ -377,17 +377,18 @@ def edges(products: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _spelt(text: Column) -> Column:
-    """As ``spelling``."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), "μ.", "µ "), r"[\s\u00a0\u2009\u202f]+", " "))
+    """As ``spelling``; the regular expression is for texts with other blanks than single spaces only."""
+    low = F.trim(F.translate(F.lower(text), "μ.\u00a0\u2009\u202f\t\n\r", "µ       "))
+    return F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, " {2,}", " ")).otherwise(low)
 
 
 def _number(text: Column) -> Column:
     """As ``_float``."""
     text = F.translate(text, "−", "-")
-    comma_last = text.rlike(r",[^.,]*$")
-    both = F.contains(text, F.lit(",")) & F.contains(text, F.lit("."))
-    plain = F.when(both & comma_last, F.translate(text, ".", "")).when(both, F.translate(text, ",", "")).otherwise(text)
-    x = F.translate(plain, ",", ".").try_cast("double")
+    comma, dot = F.contains(text, F.lit(",")), F.contains(text, F.lit("."))
+    comma_last = F.instr(F.reverse(text), ",") < F.instr(F.reverse(text), ".")
+    plain = F.when(~comma, text).when(dot & comma_last, F.translate(text, ",.", ".")).when(dot, F.translate(text, ",", "")).otherwise(F.translate(text, ",", "."))
+    x = plain.try_cast("double")
     return F.when(F.abs(x) < float("inf"), x)
 
 
@@ -410,21 +411,24 @@ def observations(cv_params: DataFrame, dimensions: DataFrame) -> DataFrame:
     accessions = sorted((d, a, k) for d, own in _ACCESSIONS.items() for a, k in own.items())
     value = F.coalesce(F.col("value"), F.lit(""))
     duration = r"(?i)^\s*PT(?:([\d.,]+)H)?(?:([\d.,]+)M)?(?:([\d.,]+)S)?\s*$"
-    number = r"(?s)^\s*([+\-−]?\d[\d.,]*(?:[eE][+-]?\d+)?|[+\-−]?[.,]\d+(?:[eE][+-]?\d+)?)\s*(.*?)\s*$"
+    number = r"^\s*[+\-−]?(?:\d[\d.,]*|[.,]\d+)(?:[eE][+-]?\d+)?"
+    name = F.coalesce("name", F.lit(""))
+    bracketed = F.contains(name, F.lit("(")) | F.contains(name, F.lit("["))
+    is_duration = F.lower(F.substring(F.ltrim(value), 1, 1)) == "p"
     rows = cv_params.select(
         F.col("param_id").cast("long").alias("param_id"), F.col("run_id").cast("long").alias("run_id"), "accession", _scan().alias("scan"),
-        *[F.regexp_extract(value, duration, k).alias(x) for k, x in ((1, "h"), (2, "m"), (3, "s"))],
-        F.regexp_extract(value, number, 1).alias("digits"), F.regexp_extract(value, number, 2).alias("behind"),
+        *[F.when(is_duration, F.regexp_extract(value, duration, k)).otherwise("").alias(x) for k, x in ((1, "h"), (2, "m"), (3, "s"))],
+        value.alias("value"), F.regexp_extract(value, number, 0).alias("digits"),
         _spelt(F.coalesce("unit_name", F.lit(""))).alias("unit_name"), F.trim(F.coalesce("unit_accession", F.lit(""))).alias("unit_accession"),
-        _spelt(F.regexp_extract(F.coalesce("name", F.lit("")), r"[\[(]([^\[\]()]*)[\])]\s*$", 1)).alias("suffix"),
+        F.when(bracketed, _spelt(F.regexp_extract(name, r"[\[(]([^\[\]()]*)[\])]\s*$", 1))).otherwise("").alias("suffix"),
     ).join(F.broadcast(dimensions), "accession")
     parts = [_number(F.col(x)) for x in ("h", "m", "s")]
     broken = F.greatest(*[((F.col(x) != "") & p.isNull()).cast("int") for x, p in zip(("h", "m", "s"), parts, strict=True)]) > 0
     n = sum(((F.col(x) != "").cast("int") for x in ("h", "m", "s")), F.lit(0))
     total = sum((F.coalesce(p, F.lit(0.0)) * f for p, f in zip(parts, (3600, 60, 1), strict=True)), F.lit(0.0))
     rows = rows.withColumns({
-        "number": F.when(broken, F.lit(None).cast("double")).when(n == 1, F.coalesce(*parts)).when(n > 1, total).otherwise(_number(F.col("digits"))),
-        "tail": F.when(broken, "").when(n > 1, "s").when(F.col("h") != "", "h").when(F.col("m") != "", "min").when(F.col("s") != "", "s").otherwise(_spelt(F.col("behind"))),
+        "number": F.when(broken, F.lit(None).cast("double")).when(n == 1, F.coalesce(*parts)).when(n > 1, total).otherwise(_number(F.trim(F.col("digits")))),
+        "tail": F.when(broken, "").when(n > 1, "s").when(F.col("h") != "", "h").when(F.col("m") != "", "min").when(F.col("s") != "", "s").when(F.col("digits") == "", "").otherwise(_spelt(F.expr("substring(value, length(digits) + 1)"))),
     })
     rows = rows.join(_literal(spark, accessions, "dimension, unit_accession, by_accession"), ["dimension", "unit_accession"], "left")
     for text in ("unit_name", "tail", "suffix"):
