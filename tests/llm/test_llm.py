@@ -183,6 +183,9 @@ def test_splitting(spark):
             assert b.start_pos == a.end_pos - 199 and a.sequence[-200:] == b.sequence[:200]
             assert not a.cut_gap or s[a.end_pos - 1].upper() in "NX" or s[a.end_pos].upper() in "NX"
         assert all(len(p.sequence) <= 6000 and p.sequence == s[p.start_pos - 1 : p.end_pos] for p in ps)
+    cut = {(r.contig_id, r.cut_after) for r in splitting.boundaries(df.dropDuplicates()).where("cut_after IS NOT NULL").collect()}
+    at_gaps = {(p.contig_id, p.piece_no) for ps in by.values() for p in ps if p.cut_gap}
+    assert cut <= at_gaps and len(cut) > 20
     assert splitting.split(df.where("false")).count() == 0
     with pytest.raises(ValueError, match="overlap"):
         splitting.split(df, limit=100, overlap=60)
@@ -199,10 +202,30 @@ def test_long_records_keep_their_boundaries(n):
     assert all(0 < y - x <= (5800 if i else 6000) for i, (x, y) in enumerate(zip(at, at[1:])))
     assert all(any(a <= x <= b and b - a == k for a, b in gaps) for x, k in c)
     assert len(at) - 1 <= 2 * (1 + -(-(n - 6000) // 5800))
+    assert all(k for _, k in c)
     bare = splitting.cuts(n, [])
     assert len(bare) == -(-(n - 6000) // 5800) and not any(k for _, k in bare)
 
 
+def test_no_usable_gap_is_left_out():
+    """The number of cuts outside of gaps is the least possible: brute force over all chains of gap ends."""
+    rng = random.Random(11)
+    for _ in range(150):
+        n = rng.randrange(61, 400)
+        gaps = sorted((a, a + rng.choice([1, 3, 12])) for a in rng.sample(range(1, n - 14), rng.randrange(0, 6)))
+        gaps = [g for k, g in enumerate(gaps) if k == 0 or g[0] > gaps[k - 1][1]]
+        c = splitting.cuts(n, gaps, 60, 5)
+        at = [5, *(x for x, _ in c), n]
+        assert all(0 < y - x <= 55 for x, y in zip(at, at[1:])), (n, gaps, c)
+        assert all(any(a <= x <= b and b - a == k for a, b in gaps) if k else True for x, k in c)
+        if len(c) <= 2 * splitting.STRETCH:
+            ends = sorted({x for g in gaps for x in g if 5 < x < n})
+            least = {5: 0}
+            for x in [*ends, n]:
+                least[x] = min(v - (-(x - w) // 55) - 1 for w, v in least.items() if w < x)
+            assert sum(not k for _, k in c) <= least[n], (n, gaps, c)
+
+
 # ---- p8 ------------------------------------------------------------------------------------------------------------------------------
 
 
