@@ -7,10 +7,14 @@ A recursive-descent parser over text of one or more lines:
     attributes = pair { ";" pair } [ ";" ]
     pair       = key blanks ( number | '"' text '"' )
 
-An error is typed (``columns``, ``quoting``, ``value``), located by its offset, and ends the record.  After a broken quote the rest of
-the line can't be trusted to be what it looks like, so the parser resumes at the next validated anchor: a line start behind which a
-comment, a blank line or the head of a record (text, text, text, whole number, whole number) can be parsed.  Lines before the anchor
-belong to the broken record.  Null and blank texts hold no records; blanks and carriage returns at a line's end are ignored.
+An error is typed (``columns``, ``quoting``, ``value``), located by its offset, and ends the record.  After a broken quote what follows
+can't be trusted to be what it looks like, so the parser resumes at the next validated anchor: a line start behind which a comment, a
+blank line or the head of a record (text, text, text, whole number, whole number) can be parsed.  Every valid record begins with an
+anchor; lines before the anchor are remains of the broken record, and each is reported with its own fault, so that no line is lost.
+
+The rows of an Arrow batch are parsed as one text, each row beginning a line, and what is found is traced back to its row by offset.
+Null and blank texts hold no records; blanks and carriage returns at a line's end are ignored.  Positions have at most 19 digits after
+leading zeros (a long).
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +33,7 @@ DECIMAL = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\Z")
 WHOLE = re.compile(r"\d+\Z", re.A)
 NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?=[ ;]|\Z)", re.A)
 KEY = re.compile(r"[^\s\";]+")
-ANCHOR = re.compile(r"(?:#|[ \r]*$|[^\t\n]+\t[^\t\n]*\t[^\t\n]*\t\d+\t\d+\t)", re.M)
+ANCHOR = re.compile(r"(?:#|[ \r]*$|[^\t\n]*\t[^\t\n]*\t[^\t\n]*\t\d+\t\d+\t)", re.M)
 FRAMES = (".", "0", "1", "2")
 
 
@@ -61,27 +66,26 @@ class Parser:
         self.text, self.pos = text, 0
 
     def parse(self) -> Iterator[Record | Fault]:
+        return (x for _, x in self.located())
+
+    def located(self) -> Iterator[tuple[int, Record | Fault]]:
+        """What the text holds, with the offset of its line."""
         text = self.text
+        recovering = False
         while self.pos < len(text):
-            stop = text.find("\n", self.pos)
+            start, stop = self.pos, text.find("\n", self.pos)
             stop = len(text) if stop < 0 else stop
-            line = text[self.pos : stop].rstrip(" \r")
+            self.pos = stop + 1
+            line = text[start:stop].rstrip(" \r")
+            if recovering and ANCHOR.match(text, start):
+                recovering = False
             if not line.strip() or line.startswith("#"):
-                self.pos = stop + 1
                 continue
             try:
-                yield self.record(line, self.pos)
-                self.pos = stop + 1
+                yield start, self.record(line, start)
             except Broken as b:
-                yield b.fault
-                self.resume(stop + 1, b.fault.reason == "quoting")
-
-    def resume(self, start: int, to_anchor: bool) -> None:
-        """Go on at ``start``, after a broken quote at the first line start from there that is an anchor."""
-        while to_anchor and start < len(self.text) and not ANCHOR.match(self.text, start):
-            stop = self.text.find("\n", start)
-            start = len(self.text) if stop < 0 else stop + 1
-        self.pos = start
+                yield start, b.fault._replace(message="remains of a broken record, " + b.fault.message) if recovering else b.fault
+                recovering = recovering or b.fault.reason == "quoting"
 
     def record(self, line: str, base: int) -> Record:
         fields = line.split("\t")
@@ -101,9 +105,10 @@ class Parser:
         return Record(seqname, source, feature, low, high, number, strand, None if frame == "." else frame, attributes)
 
     def position(self, text: str, at: int) -> int:
-        if not WHOLE.match(text) or len(text) > 18 or int(text) < 1:
+        digits = text.lstrip("0")
+        if not WHOLE.match(text) or not digits or len(digits) > 19 or int(digits) >= 1 << 63:
             raise Broken("value", at, f"position {text[:40]!r}")
-        return int(text)
+        return int(digits)
 
     def score(self, text: str, at: int) -> float | None:
         if text == ".":
@@ -168,13 +173,19 @@ def parse(lines: DataFrame) -> DataFrame:
             numbers: list[int] = []
             faults: list[tuple] = []
             records: list[tuple] = []
-            for line_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, x in enumerate(Parser(text or "").parse()):
-                    ids.append(line_id)
-                    numbers.append(k)
-                    bad = isinstance(x, Fault)
-                    faults.append(tuple(x) if bad else (None, None, None))
-                    records.append((None,) * 9 if bad else (*x[:8], list(x.attributes.items())))
+            lines_ = [t or "" for t in batch.column(1).to_pylist()]
+            starts = np.cumsum([0, *(len(t) + 1 for t in lines_)])
+            own = batch.column(0).to_pylist()
+            row = -1
+            for at, x in Parser("\n".join(lines_)).located():
+                if row < 0 or at >= starts[row + 1]:
+                    row, k = int(np.searchsorted(starts, at, "right")) - 1, 0
+                ids.append(own[row])
+                numbers.append(k)
+                k += 1
+                bad = isinstance(x, Fault)
+                faults.append((x.reason, x.at - int(starts[row]), x.message) if bad else (None, None, None))
+                records.append((None,) * 9 if bad else (*x[:8], list(x.attributes.items())))
             arrays = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())]
             arrays += [pa.array([f[k] for f in faults], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))]
             arrays += [pa.array([r[k] for r in records], t) for k, t in enumerate(_KINDS)]

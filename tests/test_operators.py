@@ -125,8 +125,9 @@ def test_grammar_recovers():
     good = HEAD + 'a "b";'
     text = "\n".join([good, HEAD + 'a "broken; b "c', "rest of it", 'still"; x', good.replace("chr1", "chr2"), "# c", "x\ty", good])
     out = list(Parser(text).parse())
-    assert [type(x).__name__ if not isinstance(x, Fault) else x.reason for x in out] == ["Record", "quoting", "Record", "columns", "Record"]
-    assert out[2].seqname == "chr2" and text[out[1].at :].startswith("c\nrest of it")
+    assert [type(x).__name__ if not isinstance(x, Fault) else x.reason for x in out] == ["Record", "quoting", "columns", "columns", "Record", "columns", "Record"]
+    assert out[2].message.startswith("remains") and not out[5].message.startswith("remains")
+    assert out[4].seqname == "chr2" and text[out[1].at :].startswith("c\nrest of it")
 
 
 def test_parse_lines(spark):
@@ -136,6 +137,11 @@ def test_parse_lines(spark):
     assert [x.line_id for x in r] == [1, 4] and r[0].attributes == {"a": "b"} and r[0].score is None and len(r[1].attributes["note"]) == 200_000
     assert sorted((x.line_id or 0, x.reason) for x in gtf_grammar.faults(df).collect()) == [(0, "columns"), (3, "columns"), (3, "columns")]
     assert gtf_grammar.parse(df.where("false")).count() == 0
+    # A broken quote in one row doesn't reach the next, and what is found is traced to its row and the place in it.
+    bad = HEAD + 'a "b; c'
+    df = spark.createDataFrame([(1, bad), (2, "rest"), (3, HEAD + 'a "b"'), (4, bad + "\nmore\n" + HEAD + 'c "d"'), (5, "\t0\t" + HEAD), (6, HEAD.replace("5\t9", "0000000000000000001\t1000000000000000005") + 'a "b"')], "line_id long, line string").coalesce(1)
+    got = [(r.line_id, r.record_no, r.reason, r.error_at) for r in gtf_grammar.parse(df).collect()]
+    assert got == [(1, 0, "quoting", bad.index('"')), (2, 0, "columns", 0), (3, 0, None, None), (4, 0, "quoting", bad.index('"')), (4, 1, "columns", len(bad) + 1), (4, 2, None, None), (5, 0, "columns", 0), (6, 0, None, None)]
 
 
 # ---- p4 ------------------------------------------------------------------------------------------------------------------------------
