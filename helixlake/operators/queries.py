@@ -75,6 +75,10 @@ def p5_versions(spark: SparkSession, d: str) -> DataFrame:
     return drift.fingerprints(*_drift(spark, d))
 
 
+def p5_migrations(spark: SparkSession, d: str) -> DataFrame:
+    return drift.migrations(*_drift(spark, d))
+
+
 def p5_sam_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.sam_table(*_drift(spark, d))
 
@@ -108,7 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_converted, p1_switches, p4_found, p4_ion_params, p4_ions, p4_precursors, p4_isolation_windows, p4_activations, p4_params, p4_peaks, p4_spectra,
-        p5_found, p5_versions, p5_sam_table, p5_vcf_table, p6_found, p6_records, p6_faults, p7_found, p7_islands,
+        p5_found, p5_versions, p5_migrations, p5_sam_table, p5_vcf_table, p6_found, p6_records, p6_faults, p7_found, p7_islands,
     )
 }
 

@@ -350,15 +350,37 @@ def test_drift(spark):
     versions = {r.file_id: r for r in drift.fingerprints(reads, headers, files).collect()}
     assert [versions[i].version for i in (1, 3, 2, 6)] == [1, 2, 3, 4] and versions[1].fingerprint == versions[2].fingerprint != versions[3].fingerprint and versions[5].n_changes == 4
     table = drift.sam_table(reads, headers, files)
-    assert set(table.columns) == {"read_id", "file_id", "NM", "YY", "RG", "BC"} and table.count() == reads.count()
+    assert set(table.columns) == {"read_id", "file_id", "NM", "YY", "RG", "BC", "unplaced"} and table.count() == reads.count()
     first = table.where("read_id = 1").first()
     assert (first.NM, first.YY, first.RG, dict(table.dtypes)["NM"], dict(table.dtypes)["BC"]) == (1.0, "a", None, "double", "bigint")
     variants = spark.createDataFrame([(1, 4, "DP=5;AF=0.5,0.1;OLD=q"), (2, 5, "COV=x;NEW"), (3, 5, None), (3, 5, None)], "variant_id long, file_id long, info string")
     v = drift.vcf_table(variants, reads, headers, files).orderBy("variant_id").collect()
     assert len(v) == 4 and (v[0].COV, v[0].AF, v[0].OLD, v[1].COV, v[1].NEW, v[2].COV) == (5, "0.5,0.1", "q", None, "true", None)
+    assert [r.unplaced for r in v] == [None, ["COV=x"], None, None]
+    steps = {(r.file_id, r.field): r for r in drift.migrations(reads, headers, files).collect()}
+    assert len(steps) == len(got) and (steps[6, "YY"].operation, steps[6, "YY"].old_name, steps[3, "NM"].old_type, steps[3, "NM"].new_type) == ("renamed", "XX", "integer", "decimal")
+    assert all(r.from_fingerprint != r.to_fingerprint for r in steps.values())
+
+
+def test_surplus_values_are_kept(spark):
+    """Old and new name together, a repeated tag and a number beyond a long find no column."""
+    reads, headers, files = drift_tables(spark)
+    more = spark.createDataFrame([(20, 6, [("XX", "a"), ("YY", "b"), ("NM", "1"), ("NM", "2"), ("BC", "9" * 30)])], "read_id long, file_id long, tags array<struct<tag:string,value:string>>")
+    r = drift.sam_table(reads.unionByName(more, allowMissingColumns=True), headers, files).where("read_id = 20").first()
+    assert (r.NM, r.BC) == (1.0, None) and {"NM=2", "BC=" + "9" * 30} <= set(r.unplaced)
+
+
+def test_comments_that_rename_several(spark):
+    s, at = spark.createDataFrame, lambda d: datetime(2024, 1, d)
+    files = s([(1, "SAM", "f", at(1)), (2, "SAM", "f", at(2))], "file_id long, file_format string, feed string, written_at timestamp_ntz")
+    tags = lambda *t: [(x, "1") for x in t]
+    reads = s([(1, 1, tags("AA", "BB", "EE")), (2, 2, tags("CC", "DD", "FF"))], "read_id long, file_id long, tags array<struct<tag:string,value:string>>")
+    for line, want in [("@CO\tAA, BB are now called CC, DD", {("CC", "AA"), ("DD", "BB")}), ("@CO\tCC replaces AA; DD replaces BB", {("CC", "AA"), ("DD", "BB")}), ("@CO\tCC: CC replaces AA", {("CC", "AA")})]:
+        headers = s([(2, 1, line)], "file_id long, line_no int, line string")
+        assert {(r.field_name, r.old_name) for r in drift.changes(reads, headers, files).collect() if r.change_kind == "renamed"} == want
 
 
 def test_drift_empty(spark):
     reads, headers, files = (x.where("false") for x in drift_tables(spark))
-    assert drift.changes(reads, headers, files).count() == 0 and drift.sam_table(reads, headers, files).columns == ["read_id", "file_id"]
+    assert drift.changes(reads, headers, files).count() == 0 and drift.sam_table(reads, headers, files).columns == ["read_id", "file_id", "unplaced"]
     assert empty(spark, "a int").count() == 0
