@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixlake.functions.alignment import FLAGS
+from helixlake.functions.massspec import bin_udf
+from helixlake.plans.region import PATTERN
 from helixlake.functions.sequence import MATCHES, find_all, local_score
 
-_NAME = "if(instr(region, ':') = 0, region, split_part(region, ':', 1))"
-_START = "if(instr(region, ':') = 0, 1L, cast(split_part(split_part(region, ':', 2), '-', 1) AS BIGINT))"
-_END = "coalesce(try_cast(split_part(split_part(concat(region, ':'), ':', 2), '-', 2) AS BIGINT), 9223372036854775807L)"
+# Parts of the text ``region`` by the pattern of ``Region``; Catalyst folds them where the text is a literal.
+_PART = lambda k: f"regexp_extract(trim(region), r'{PATTERN}', {k})"
+_NAME = f"coalesce(nullif({_PART(1)}, ''), nullif({_PART(2)}, ''), cast(raise_error(concat('not a region: ', region)) AS STRING))"
+_START = f"coalesce(cast(nullif(replace({_PART(3)}, ',', ''), '') AS BIGINT), 1L)"
+_END = f"coalesce(cast(nullif(replace({_PART(4)}, ',', ''), '') AS BIGINT), 9223372036854775807L)"
+#: A position that isn't given: filters of names only.
+_NONE = "-9223372036854775807L"
 _LOW = "cast(split_part(span, '-', 1) AS BIGINT)"
 _HIGH = "coalesce(try_cast(split_part(span, '-', 2) AS BIGINT), 9223372036854775807L)"
 
@@ -37,20 +43,17 @@ NATIVE: list[tuple[str, str, str, str]] = [
         f"if(chrom IS NULL OR pos IS NULL, cast(raise_error('region_match: null chromosome or position') AS BOOLEAN), chrom = {_NAME} AND pos BETWEEN {_START} AND {_END})",
     ),
     ("contains_peak", "mz ARRAY<DOUBLE>, peak DOUBLE, tolerance DOUBLE", "BOOLEAN", "exists(mz, m -> coalesce(abs(m - peak) < tolerance, false))"),
-    (
-        "bin_vectors", "mz ARRAY<DOUBLE>, intensity ARRAY<DOUBLE>, min_mz DOUBLE, n_bins BIGINT, width DOUBLE", "ARRAY<DOUBLE>",
-        "if(mz IS NULL OR intensity IS NULL, null, transform(sequence(0L, n_bins - 1), k -> aggregate(filter(zip_with(mz, intensity, (m, i) -> struct(floor((m - min_mz) / width) AS b, i AS v)), "
-        "p -> p.b = k AND p.v IS NOT NULL), 0D, (a, p) -> a + p.v)))",
-    ),
     *[(name, "flag INT", "BOOLEAN", f"(flag & {mask}) = {mask}") for name, mask in FLAGS.items()],
     *[
-        (f"{kind}_region_filter{n}", args, "BOOLEAN", f"chrom = {_NAME}" + (f" AND pos >= {_START} AND pos <= {_END}" if n == 3 else ""))
-        for kind in ("vcf", "gff", "bigwig") for n, args in ((2, "region STRING, chrom STRING"), (3, "region STRING, chrom STRING, pos BIGINT"))
+        (f"{kind}_region_filter", f"region STRING, chrom STRING, pos BIGINT DEFAULT {_NONE}", "BOOLEAN", f"chrom = {_NAME} AND (pos = {_NONE} OR pos >= {_START} AND pos <= {_END})")
+        for kind in ("vcf", "gff", "bigwig")
     ],
     *[
-        (f"{kind}_region_filter{n}", args, "BOOLEAN", f"reference = {_NAME}" + (f" AND start_pos <= {_END} AND end_pos >= {_START}" if n == 4 else ""))
+        (
+            f"{kind}_region_filter", f"region STRING, reference STRING, start_pos BIGINT DEFAULT {_NONE}, end_pos BIGINT DEFAULT {_NONE}", "BOOLEAN",
+            f"reference = {_NAME} AND (start_pos = {_NONE} OR start_pos <= {_END} AND end_pos >= {_START})",
+        )
         for kind in ("bam", "cram")
-        for n, args in ((2, "region STRING, reference STRING"), (4, "region STRING, reference STRING, start_pos BIGINT, end_pos BIGINT"))
     ],
 ]
 
@@ -63,8 +66,8 @@ def _pattern(text: str) -> re.Pattern[str]:
 def register_all(spark: SparkSession) -> None:
     """Make every function callable by name in ``spark.sql``.
 
-    Spark has no overloads by arity: the region filters are registered with their number of arguments as suffix, and
-    ``GenomicsSession.sql`` writes ``vcf_region_filter(...)`` as the one that fits.
+    Positions of the region filters have a default that stands for "not given", so that ``vcf_region_filter('chr1', chrom)`` and
+    ``vcf_region_filter('chr1:1-9', chrom, pos)`` are one function.
     """
     for name, args, returns, body in NATIVE:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
@@ -78,4 +81,5 @@ def register_all(spark: SparkSession) -> None:
         return find_all(text, _pattern(pattern))
 
     spark.udf.register("alignment_score", alignment_score)
+    spark.udf.register("bin_vectors", bin_udf)
     spark.udf.register("locate_regex", locate_regex)

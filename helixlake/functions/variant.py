@@ -37,10 +37,10 @@ def region_match(chrom: Column | str, pos: Column | str, region: str) -> Column:
 
 
 def point_filter(region: str, chrom: Column | str, pos: Column | str | None = None) -> Column:
-    """Row predicate of the VCF, GFF and BigWig region filters: name equal, position in the interval."""
+    """Row predicate of the VCF, GFF and BigWig region filters: name equal, position in the interval; a null position is out if it is asked for."""
     r = Region.parse(region)
     named = _col(chrom) == r.name
-    return named if pos is None else named & _within(_col(pos), r.interval)
+    return named if pos is None else named & _col(pos).isNotNull() & _within(_col(pos), r.interval)
 
 
 def overlap_filter(region: str, reference: Column | str, start: Column | str, end: Column | str) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-_REGION = re.compile(r"^(?P<name>[^:].*?)(?::(?P<start>[\d,]+)(?:-(?P<end>[\d,]+)?)?)?$")
+#: A name may stand in braces, as one that ends like bounds must: ``{HLA-A*01:01}:5-9``.  Also used in SQL, hence no named groups.
+PATTERN = r"^(?:\{([^}]*)\}|([^:{].*?))(?::([0-9,]+)(?:-([0-9,]+)?)?)?$"
+_REGION = re.compile(PATTERN)
 _INTERVAL = re.compile(r"^(?P<start>\d+)?(?:-(?P<end>\d+)?)?$")
 
 
@@ -37,10 +39,11 @@ class Region(NamedTuple):
     def parse(cls, text: str) -> Region:
         """``chr``, ``chr:start`` (open to the end) or ``chr:start-end``; thousands separators are allowed."""
         m = _REGION.match(text.strip())
-        if not m or not m["name"]:
+        name = m and (m[1] or m[2])
+        if not name:
             raise ValueError(f"not a region: {text!r}")
         number = lambda x: int(x.replace(",", "")) if x else None
-        return cls(m["name"], parsed(number(m["start"]), number(m["end"]), text))
+        return cls(name, parsed(number(m[3]), number(m[4]), text))
 
     def intersect(self, other: Region) -> Region | None:
         if self.name != other.name:

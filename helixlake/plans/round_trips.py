@@ -107,7 +107,7 @@ def scan_vcf(spark: SparkSession, d: str) -> DataFrame:
 def scan_vcf_typed(spark: SparkSession, d: str) -> DataFrame:
     """INFO and FORMAT parsed by a header's declarations."""
     raw = spark.read.text(_vcf(spark, d)).where(~F.startswith("value", F.lit("#")))
-    v = text.vcf_frame(raw, _VCF_HEADER, True, True)
+    v = text.vcf_frame(raw, [_VCF_HEADER], True, True)
     return v.select("chrom", "pos", F.col("info.DP").alias("dp"), F.coalesce("info.LOWC", F.lit(False)).alias("lowc"), F.col("formats")[0]["GT"].alias("gt"))
 
 

@@ -6,7 +6,8 @@ import re
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from helixlake.functions.registry import register_all
 from helixlake.plans import statements
@@ -57,11 +58,18 @@ class GenomicsSession:
         return text.read_sam(self.spark, path, self.settings["sam_parse_tags"] if parse_tags is None else parse_tags)
 
     def read_bam(self, path: str, parse_tags: bool | None = None, **options: object) -> DataFrame:
-        return self._binary("bam", path, {"parseTags": self.settings["bam_parse_tags"] if parse_tags is None else parse_tags, **options})
+        return self._alignments("bam", path, self.settings["bam_parse_tags"] if parse_tags is None else parse_tags, options)
 
     def read_cram(self, path: str, fasta_reference: str | None = None, parse_tags: bool | None = None, **options: object) -> DataFrame:
         tags = self.settings["cram_parse_tags"] if parse_tags is None else parse_tags
-        return self._binary("cram", path, {"parseTags": tags, **({"reference": fasta_reference} if fasta_reference else {}), **options})
+        return self._alignments("cram", path, tags, {**({"reference": fasta_reference} if fasta_reference else {}), **options})
+
+    def _alignments(self, name: str, path: str, parse_tags: bool, options: dict) -> DataFrame:
+        """Typed tags are those of any record: a pass over the tags finds them."""
+        if parse_tags and "seentags" not in options:
+            every = self._binary(name, path, {**options, "columns": "tags", "tagKinds": True})
+            options = {**options, "seentags": ";".join(text.seen_tags(F.transform("tags", lambda t: t["tag"]), every))}
+        return self._binary(name, path, {"parseTags": parse_tags, **options})
 
     def read_bigwig_value(self, path: str, **options: object) -> DataFrame:
         return self._binary("bigwig_value", path, options)
@@ -118,7 +126,7 @@ class GenomicsSession:
         """The reader of a type's name (``FASTA``, ``INDEXED_VCF``, ...) with textual options."""
         kind = schemas.ALIASES.get(kind.lower(), kind.lower())
         compression = (options.get("compression") or "").lower()
-        cut = {k: options[k] for k in ("prune", "only") if k in options}
+        cut = {k: options[k] for k in ("prune", "only", "columns") if k in options}
         flag = lambda name: options[name].lower() == "true" if name in options else None
         if kind == "fasta":
             return self.read_fasta(path, options.get("sequence_data_type", "utf8"), options.get("file_extension"))
@@ -175,11 +183,13 @@ class GenomicsSession:
             if kind not in {f.name for f in binary.FORMATS}:
                 continue  # Spark prunes the text formats itself
             keys = list(dict.fromkeys(k for f in files.find(path, schemas.EXTENSIONS.get(kind)) for k, _ in f.partitions))
-            found = statements.prunable(query, name, keys)
-            if found and (found[0] or found[1]):
+            found = statements.prunable(query, name, keys) or (None, {})
+            columns = statements.columns_of(query, name, self.spark.table(name).columns)
+            if found[0] or found[1] or columns:
                 only = ";".join(f"{k}={v}" for k, v in found[1].items())
+                cut = {"columns": ",".join(columns)} if columns else {}
                 view = f"pruned_{uuid.uuid4().hex}"
-                self.read(kind, path, {**options, **({"prune": found[0]} if found[0] else {}), **({"only": only} if only else {})}).createOrReplaceTempView(view)
+                self.read(kind, path, {**options, **cut, **({"prune": found[0]} if found[0] else {}), **({"only": only} if only else {})}).createOrReplaceTempView(view)
                 return re.sub(rf"(\bFROM\s+){re.escape(name)}\b", rf"\g<1>{view}", query, count=1, flags=re.I)
         return query
 
@@ -245,8 +255,9 @@ class GenomicsSession:
         df = self.sql(s.source)
         kind = schemas.ALIASES.get(s.kind or "", s.kind) or Path(s.path).suffix.lstrip(".").lower()
         if kind in ("parquet", "csv", "json"):
-            n = df.count()
-            (df.write.mode("overwrite").option("header", True) if kind == "csv" else df.write.mode("overwrite")).format(kind).save(s.path)
+            seen = Observation()
+            (df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("error").option("header", True)).format(kind).save(s.path)
+            n = seen.get["n"]
         else:
             n = writers.write_records(df, s.path, kind, s.options.get("compression"))
         return self.spark.createDataFrame([(n,)], "count long")

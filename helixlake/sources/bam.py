@@ -5,7 +5,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from helixlake.sources import bgzf
+import numpy as np
+import pyarrow as pa
+
+from helixlake.sources import bgzf, columnar
 
 _BASES = "=ACMGRSVTWYHKDBN"
 _PAIRS = [a + b for a in _BASES for b in _BASES]
@@ -92,3 +95,109 @@ def records(reader: bgzf.Reader, names: list[str], end: int = bgzf.LAST) -> Iter
         if len(size) < 4:
             return
         yield decode(reader.read(struct.unpack("<i", size)[0]), names)
+
+
+# ---- columns of many records at once -----------------------------------------------------------------------------------------------------
+
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("n_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("n_seq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
+_EXPANDED = np.frombuffer("".join(_PAIRS).encode(), np.uint8).reshape(256, 2)
+_CONSUMES = np.array([o in (0, 2, 3, 7, 8) for o in range(16)])
+
+
+def starts_of(data: bytes, at: int, stop: int) -> tuple[list[int], int]:
+    """Offsets of the whole records that begin from ``at`` on and before ``stop``, and where the first incomplete one begins."""
+    out, n = [], len(data)
+    while at < stop and at + 4 <= n:
+        size = int.from_bytes(data[at : at + 4], "little")
+        if at + 4 + size > n:
+            break
+        out.append(at)
+        at += 4 + size
+    return out, at
+
+
+def columns(data: bytes, starts: list[int], names: list[str], wanted: list[str], typed: list[tuple[str, object]] | None = None, kinds: bool = False) -> list[pa.Array]:
+    """The ``wanted`` columns of the records at ``starts``; ``typed`` tags as a struct, else a list of (tag, text), the tag with its type if ``kinds``."""
+    buffer = np.frombuffer(data, np.uint8)
+    at = np.array(starts, np.int64)
+    head = buffer[at[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD).reshape(-1)
+    n_name, n_cigar, n_seq = (head[c].astype(np.int64) for c in ("n_name", "n_cigar", "n_seq"))
+    name_at = at + _HEAD.itemsize
+    cigar_at = name_at + n_name
+    seq_at = cigar_at + 4 * n_cigar
+    packed = (n_seq + 1) // 2
+    quality_at = seq_at + packed
+    tags_at = quality_at + n_seq
+    ends = at + 4 + head["size"]
+    ops = columnar.pieces(buffer, cigar_at, 4 * n_cigar).view("<u4")
+    n_ops = n_cigar
+    long = _long_cigars(data, n_cigar, n_seq, ops, tags_at, ends) if {"cigar", "end", "tags"} & set(wanted) else {}
+    if long:
+        own = np.split(ops, np.cumsum(n_cigar)[:-1])
+        for i, found in long.items():
+            own[i] = found
+        ops, n_ops = np.concatenate(own), np.array([len(x) for x in own], np.int64)
+    start = head["pos"].astype(np.int64) + 1
+    unplaced = start < 1
+
+    def column(c: str) -> pa.Array:
+        if c == "name":
+            return columnar.strings(columnar.pieces(buffer, name_at, n_name - 1), n_name - 1)
+        if c == "flag":
+            return pa.array(head["flag"].astype(np.int32))
+        if c == "reference":
+            return columnar.names_of(head["ref"], names)
+        if c == "mate_reference":
+            return columnar.names_of(head["mate"], names)
+        if c == "start":
+            return pa.array(start, mask=unplaced)
+        if c == "end":
+            span = columnar.sums(np.where(_CONSUMES[ops & 15], ops >> 4, 0).astype(np.int64), n_ops)
+            return pa.array(start + span - 1, mask=unplaced | (n_ops == 0))
+        if c == "mapping_quality":
+            texts = pa.array([*map(str, range(255)), None], pa.string())
+            return texts.take(pa.array(head["mapq"]))
+        if c == "cigar":
+            distinct, inverse = np.unique(ops, return_inverse=True)
+            pool = [f"{o >> 4}{_OPS[o & 15]}".encode() for o in distinct.tolist()]
+            sizes = np.array([len(x) for x in pool], np.int64)
+            text = np.frombuffer(b"".join(pool), np.uint8)
+            return columnar.strings(columnar.pieces(text, (columnar.offsets(sizes)[:-1])[inverse], sizes[inverse]), columnar.sums(sizes[inverse], n_ops))
+        if c == "sequence":
+            pairs = _EXPANDED[columnar.pieces(buffer, seq_at, packed)].reshape(-1)
+            return columnar.strings(columnar.pieces(pairs, 2 * columnar.offsets(packed)[:-1], n_seq), n_seq)
+        if c == "quality_score":
+            first = buffer[np.minimum(quality_at, len(buffer) - 1)]
+            sizes = np.where((n_seq > 0) & (first == 255), 0, n_seq)
+            return columnar.lists(pa.array(columnar.pieces(buffer, quality_at, sizes).astype(np.int64)), sizes)
+        return _tags(data, tags_at.tolist(), ends.tolist(), set(long), typed, kinds)
+
+    return [column(c) for c in wanted]
+
+
+def _long_cigars(data: bytes, n_cigar: np.ndarray, n_seq: np.ndarray, ops: np.ndarray, tags_at: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+    """Operations of records whose cigar is too long for its field and stands in the tag CG."""
+    first = columnar.offsets(n_cigar)[:-1]
+    out = {}
+    for i in np.flatnonzero(n_cigar == 2).tolist():
+        a, b = int(ops[first[i]]), int(ops[first[i] + 1])
+        if a & 15 == 4 and a >> 4 == n_seq[i] and b & 15 == 3:
+            for tag, kind, text in decode_tags(data[tags_at[i] : ends[i]], 0):
+                if tag == "CG" and kind == "BI":
+                    out[i] = np.array(text.split(","), np.uint32)
+    return out
+
+
+def _tags(data: bytes, starts: list[int], ends: list[int], long: set[int], typed: list[tuple[str, object]] | None, kinds: bool) -> pa.Array:
+    from helixlake.sources.binary import arrow_struct
+
+    rows = []
+    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        found = decode_tags(data[a:b], 0)
+        rows.append([t for t in found if t[0] != "CG"] if i in long else found)
+    if typed is not None:
+        return arrow_struct(rows, typed)
+    sizes = np.array([len(r) for r in rows], np.int64)
+    tag = pa.array([f"{t}:{k}" if kinds else t for r in rows for t, k, _ in r], pa.string())
+    value = pa.array([v for r in rows for _, _, v in r], pa.string())
+    return columnar.lists(pa.StructArray.from_arrays([tag, value], ["tag", "value"]), sizes)

@@ -66,6 +66,34 @@ class Reader:
             out.append(part)
         return b"".join(out)
 
+    def buffers(self, end: int = LAST, size: int = 4 << 20):
+        """``(data, begin, stop)``: decompressed stretches from here on; what was left over is passed back in by ``send`` as an offset into
+        ``data``.  ``stop`` is the place of the virtual offset ``end`` in ``data``, or its length if that comes later."""
+        self.tell()
+        data, at = self.data, self.at
+        parts, total, stop = [data], len(data), None
+        if self.block << 16 >= end >> 16 << 16:
+            stop = (end & 0xFFFF) if self.block == end >> 16 else 0
+        more = True
+        while True:
+            while more and total < size:
+                before = self.next
+                if not self._load(self.next) or (self.next == before and not self.data):
+                    more = False
+                    break
+                if stop is None and self.block >= end >> 16:
+                    stop = total + ((end & 0xFFFF) if self.block == end >> 16 else 0)
+                parts.append(self.data)
+                total += len(self.data)
+            data = b"".join(parts)
+            left = yield data, at, len(data) if stop is None else stop
+            if stop is not None and left >= stop or not more:
+                return
+            parts, at = [data[left:]], 0
+            total = len(parts[0])
+            stop = None if stop is None else stop - left
+            size = max(size, 2 * total)
+
     def lines(self, end: int = LAST):
         """Lines that start before the virtual offset ``end``."""
         rest = b""

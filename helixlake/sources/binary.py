@@ -14,14 +14,16 @@ from __future__ import annotations
 import contextlib
 import itertools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import types as T
 
 from helixlake.plans.region import Region
-from helixlake.sources import bam, bcf, bgzf, bigwig, cram, fcs, files, schemas
+from helixlake.sources import bam, bcf, bgzf, bigwig, columnar, cram, fcs, files, schemas
 
 ROWS = 8192
 #: Compressed bytes, or bytes of plain text, of one partition.
@@ -78,9 +80,11 @@ class Format:
 
 
 class Fastq(Format):
-    """FASTQ; plain files are split, a split begins at a record whose four lines agree."""
+    """FASTQ; plain files are split, a split begins at a record whose four lines agree.  Lines may end in carriage returns."""
 
     name, ddl = "fastq", schemas.FASTQ
+    #: Bytes that are parsed at once; a longer record makes its chunk as long as it needs.
+    CHUNK = 4 << 20
 
     def parts(self, f: files.Found, region: Region | None, options: dict) -> list[tuple]:
         if options.get("compression", "").lower() not in ("", "none", "uncompressed") or any(f.path.lower().endswith(c) for c in schemas.COMPRESSIONS):
@@ -89,13 +93,16 @@ class Fastq(Format):
         return [(a, min(a + size, f.size)) for a in range(0, max(f.size, 1), size)]
 
     @staticmethod
-    def sync(text: bytes) -> int:
-        """Offset of the first line that begins a record, or the length."""
+    def sync(text: bytes, whole: bool) -> int | None:
+        """Offset of the first line that begins a record; None if ``text`` must go on before that can be told, the length if it is ``whole``
+        and holds none."""
         at = 0
-        while 0 <= at < len(text):
+        while at < len(text):
             stops, k = [], at
             for _ in range(4):
                 stop = text.find(b"\n", k)
+                if stop < 0 and not whole:
+                    return None
                 stop = len(text) if stop < 0 else stop
                 stops.append((k, stop))
                 k = stop + 1
@@ -103,41 +110,97 @@ class Fastq(Format):
             if head[:1] == b"@" and plus[:1] == b"+" and len(seq) == len(qual):
                 return at
             at = stops[0][1] + 1
-        return len(text)
+        return len(text) if whole else None
+
+    def begin(self, s, start: int) -> int:
+        """Place of the first record that begins at ``start`` or after it."""
+        s.seek(start - 1)
+        probe, size = b"", 1 << 16
+        while True:
+            more = s.read(size)
+            probe += more
+            skip = probe.find(b"\n") + 1
+            found = self.sync(probe[skip:], not more) if skip else (len(probe) if not more else None)
+            if found is not None:
+                return start - 1 + skip + found if skip else start - 1 + found
+            size = min(2 * size, 64 << 20)
 
-    def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:
+    def batches(self, part: Part, options: dict, schema: T.StructType) -> Iterator[pa.RecordBatch]:
         if not part.what:
             with files.open_text(part.path, options.get("compression")) as s:
-                yield from self._records(files.lines(s))
+                yield from self._chunks(s, 0, None, schema.names)
             return
         start, end = part.what
         with files.open_raw(part.path) as s:
             if start:
-                s.seek(start - 1)
-                probe = s.read(1 << 20)
-                skip = probe.find(b"\n") + 1
-                start = start - 1 + skip + self.sync(probe[skip:])
+                start = self.begin(s, start)
             s.seek(start)
+            if start < end:
+                yield from self._chunks(s, start, end, schema.names)
+
+    def _chunks(self, s, at: int, end: int | None, wanted: list[str]) -> Iterator[pa.RecordBatch]:
+        """Records that begin before ``end``; ``at`` is the stream's place."""
+        held = b""
+        while True:
+            more = s.read(self.CHUNK)
+            text = held + more
+            if not more and text and not text.endswith(b"\n"):
+                text += b"\n"
+            buffer = np.frombuffer(text, np.uint8)
+            starts, sizes = self._framed(buffer)
+            done = False
+            if end is not None and len(starts):
+                # Four lines of a record may end beyond; none may begin there.
+                heads = starts[::4]
+                inside = int(np.searchsorted(heads + at, end))
+                done = inside < len(heads)
+                starts, sizes = starts[: 4 * inside], sizes[: 4 * inside]
+            n = len(starts) // 4
+            used = text.index(b"\n", int(starts[4 * n - 1])) + 1 if n else 0
+            if n:
+                yield from self._table(buffer, starts[: 4 * n], sizes[: 4 * n], wanted)
+            if not more and not done and (rest := text[used:].strip()):
+                raise ValueError(f"FASTQ ends within a record: {rest[:40]!r}")
+            if done or not more:
+                return
+            held, at = text[used:], at + used
 
-            def bounded() -> Iterator[bytes]:
-                at, n = start, 0
-                for line in files.lines(s):
-                    if n % 4 == 0 and at >= end:
-                        return
-                    yield line
-                    at += len(line) + 1
-                    n += 1
-
-            yield from self._records(bounded())
+    @staticmethod
+    def _framed(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the complete lines, four to a record; blank lines between records are left out."""
+        stops = np.flatnonzero(buffer == 10)
+        starts = np.concatenate([np.zeros(min(1, len(stops)), np.int64), stops[:-1] + 1])
+        sizes = stops - starts
+        sizes = sizes - ((sizes > 0) & (buffer[np.maximum(stops - 1, 0)] == 13))
+        if not (sizes[::4] == 0).any():
+            return starts, sizes
+        keep, k = np.ones(len(starts), bool), 0
+        blank = (sizes == 0).tolist()
+        while k < len(blank):
+            if blank[k]:
+                keep[k] = False
+                k += 1
+            else:
+                k += 4
+        return starts[keep], sizes[keep]
 
     @staticmethod
-    def _records(lines: Iterator[bytes]) -> Iterator[tuple]:
-        for head in lines:
-            if not head.strip():
-                continue
-            seq, _, qual = next(lines, b""), next(lines, b""), next(lines, b"")
-            name, _, description = head[1:].decode().partition(" ")
-            yield name, description or None, seq.decode(), qual.decode()
+    def _table(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: list[str]) -> Iterator[pa.RecordBatch]:
+        heads, pluses = starts[::4], starts[2::4]
+        bad = np.flatnonzero((buffer[heads] != 64) | (sizes[2::4] == 0) | (buffer[pluses] != 43))
+        if len(bad):
+            raise ValueError(f"not a FASTQ record: {bytes(buffer[heads[bad[0]] : heads[bad[0]] + 60])!r}")
+        text = lambda k: columnar.strings(columnar.pieces(buffer, starts[k::4], sizes[k::4]), sizes[k::4])
+        named: dict[str, pa.Array] = {"sequence": text(1), "quality_scores": text(3)} if {"sequence", "quality_scores"} & set(wanted) else {}
+        if {"name", "description"} & set(wanted):
+            parts = pc.split_pattern(pc.utf8_slice_codeunits(text(0), 1), " ", max_splits=1)
+            has = pc.greater(pc.list_value_length(parts), 1)
+            named["name"] = pc.list_element(parts, 0)
+            flat, first = parts.flatten(), parts.offsets.to_numpy()[:-1]
+            after = flat.take(pa.array(np.where(has.to_numpy(zero_copy_only=False), first + 1, first)))
+            named["description"] = pc.if_else(pc.and_(has, pc.not_equal(after, "")), after, pa.scalar(None, pa.string()))
+        for k in range(0, len(heads), ROWS):
+            yield pa.RecordBatch.from_arrays([named[c].slice(k, ROWS) for c in wanted], wanted)
 
 
 class Alignments(Format):
@@ -149,11 +212,11 @@ class Alignments(Format):
         base = schemas.struct(schemas.ALIGNMENT)
         if not _flag(options, "parsetags"):
             return base
-        kinds: dict[str, T.DataType] = {}
-        for f in found:
-            for tag, kind, _ in self.first_tags(f.path, options):
-                kinds.setdefault(tag, self.tag_type(kind))
-        tags = T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+        from helixlake.sources.text import infer_tags
+
+        # The session names the tags of all records; without it those of each file's first record count.
+        seen = options["seentags"].split(";") if "seentags" in options else [f"{tag}:{kind}" for f in found for tag, kind, _ in self.first_tags(f.path, options)]
+        tags = T.StructType([T.StructField(k, schemas.data_type(t)) for k, t in infer_tags([s for s in seen if s])])
         return T.StructType([*base.fields[:-1], T.StructField("tags", tags)])
 
     def first_tags(self, path: str, options: dict) -> list[tuple[str, str, str]]:
@@ -162,14 +225,6 @@ class Alignments(Format):
             _, refs = bam.read_header(reader)
             return next((r[-1] for r in bam.records(reader, [n for n, _ in refs])), [])
 
-    @staticmethod
-    def tag_type(kind: str) -> T.DataType:
-        from helixlake.sources.text import _ARRAY_TYPES
-
-        if kind[0] == "B":
-            return T.ArrayType(schemas.data_type(_ARRAY_TYPES[kind[1]]))
-        return {"i": T.IntegerType(), "f": T.FloatType()}.get(kind, T.StringType())
-
     @staticmethod
     def index(path: str) -> bgzf.Index | None:
         names = [path + ".bai", path.removesuffix(".bam") + ".bai", path + ".csi"]
@@ -187,17 +242,28 @@ class Alignments(Format):
         starts = index.splits(int(options.get("split", SPLIT)))
         return list(zip([None, *starts[1:]], [*starts[1:], None], strict=True)) if starts else [(None, None)]
 
-    def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:
+    def batches(self, part: Part, options: dict, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+        """Columns of a few thousand records at once; those that aren't wanted aren't decoded."""
         start, end = part.what
+        tags = schema["tags"].dataType if "tags" in schema.names else None
+        typed = [(f.name, f.dataType) for f in tags] if isinstance(tags, T.StructType) else None
         with files.open_raw(part.path) as raw:
             reader = bgzf.Reader(raw)
             _, refs = bam.read_header(reader)
+            names = [n for n, _ in refs]
             if start is not None:
                 reader.seek(start)
-            yield from self.shaped(bam.records(reader, [n for n, _ in refs], bgzf.LAST if end is None else end), schema)
+            buffers = reader.buffers(bgzf.LAST if end is None else end)
+            with contextlib.suppress(StopIteration):
+                data, begin, stop = next(buffers)
+                while True:
+                    found, left = bam.starts_of(data, begin, stop)
+                    for k in range(0, len(found), ROWS):
+                        yield pa.RecordBatch.from_arrays(bam.columns(data, found[k : k + ROWS], names, schema.names, typed, _flag(options, "tagkinds")), schema.names)
+                    data, begin, stop = buffers.send(left)
 
     @staticmethod
-    def shaped(records: Iterator[tuple], schema: T.StructType) -> Iterator[tuple]:
+    def shaped(records: Iterator[tuple], schema: T.StructType, tag_kinds: bool = False) -> Iterator[tuple]:
         tags = schema["tags"].dataType if "tags" in schema.names else None
         if isinstance(tags, T.StructType):
             kinds = [(f.name, f.dataType) for f in tags]
@@ -206,7 +272,15 @@ class Alignments(Format):
                 yield *r[:-1], {n: _value(found.get(n), k) for n, k in kinds}
         else:
             for r in records:
-                yield *r[:-1], [{"tag": t, "value": v} for t, _, v in r[-1]]
+                yield *r[:-1], [{"tag": f"{t}:{k}" if tag_kinds else t, "value": v} for t, k, v in r[-1]]
+
+
+def arrow_struct(rows: list[list[tuple[str, str, str]]], typed: list[tuple[str, T.DataType]]) -> pa.Array:
+    """Tag lists as a struct of typed fields."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    found = [{t: v for t, _, v in r} for r in rows]
+    return pa.StructArray.from_arrays([pa.array([_value(r.get(n), k) for r in found], to_arrow_type(k)) for n, k in typed], [n for n, _ in typed])
 
 
 def _value(text: str | None, kind: T.DataType) -> object:
@@ -227,6 +301,7 @@ class Cram(Alignments):
     """CRAM; with a ``.crai`` beside it containers are split over tasks and chosen by region.  Option ``reference``: a FASTA file."""
 
     name = "cram"
+    batches = Format.batches
 
     def first_tags(self, path: str, options: dict) -> list[tuple[str, str, str]]:
         with files.open_raw(path) as raw:
@@ -250,11 +325,11 @@ class Cram(Alignments):
             header, reference = cram.read_header(raw), cram.Reference(options.get("reference"))
             (at,) = part.what
             found = cram.containers(raw, header.first) if at is None else [cram.read_container(raw, at)]
-            yield from self.shaped((r for c in found for r in cram.container_records(raw, c, header, reference)), schema)
+            yield from self.shaped((r for c in found for r in cram.container_records(raw, c, header, reference)), schema, _flag(options, "tagkinds"))
 
 
 class Variants(Format):
-    """BCF; ``info`` and ``formats`` are typed by the first file's header."""
+    """BCF; ``info`` and ``formats`` are typed by the headers of all files."""
 
     name, ddl = "bcf", schemas.VCF
 
@@ -263,10 +338,14 @@ class Variants(Format):
             return bcf.read_header(bgzf.Reader(raw))
 
     def schema(self, found: list[files.Found], options: dict) -> T.StructType:
-        header = self.header(found[0].path)
+        from helixlake.sources.text import united
+
+        with ThreadPoolExecutor(32) as pool:
+            headers = list(pool.map(lambda f: self.header(f.path), found))
         base = schemas.struct(schemas.VCF)
         typed = lambda fields: T.StructType([T.StructField(n, _declared(k, t)) for n, k, t in fields])
-        return T.StructType([*base.fields[:7], T.StructField("info", typed(header.info)), T.StructField("formats", T.ArrayType(typed(header.format)))])
+        info, formats = united([h.info for h in headers]), united([h.format for h in headers])
+        return T.StructType([*base.fields[:7], T.StructField("info", typed(info)), T.StructField("formats", T.ArrayType(typed(formats)))])
 
     def parts(self, f: files.Found, region: Region | None, options: dict) -> list[tuple]:
         index = next((bgzf.read_index(p) for p in (f.path + ".csi",) if files.exists(p)), None)
@@ -285,7 +364,29 @@ class Variants(Format):
             header = bcf.read_header(reader)
             if start is not None:
                 reader.seek(start)
-            yield from bcf.records(reader, header, bgzf.LAST if end is None else end)
+            rows = bcf.records(reader, header, bgzf.LAST if end is None else end)
+            changed = {}
+            for column, own in (("info", header.info), ("formats", header.format)):
+                if column in schema.names:
+                    kind = schema[column].dataType
+                    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+                    changed[column] = {n: kind[n].dataType for n, number, k in own if n in kind.names and kind[n].dataType != _declared(number, k)}
+            if not any(changed.values()):
+                yield from rows
+                return
+            for r in rows:  # a file whose declarations differ from those of the table
+                info = {**r[7], **{n: _widened(r[7].get(n), t) for n, t in changed.get("info", {}).items()}} if r[7] is not None else None
+                formats = [{**x, **{n: _widened(x.get(n), t) for n, t in changed.get("formats", {}).items()}} for x in r[8]] if r[8] is not None else None
+                yield *r[:7], info, formats
+
+
+def _widened(value: object, kind: T.DataType) -> object:
+    """A value of a narrower declaration as one of the table's type."""
+    if value is None:
+        return None
+    if isinstance(kind, T.ArrayType):
+        return [_widened(v, kind.elementType) for v in (value if isinstance(value, list) else [value])]
+    return float(value) if isinstance(kind, T.FloatType) else str(value).lower() if isinstance(value, bool) else str(value)
 
 
 def _declared(number: str, kind: str) -> T.DataType:
@@ -445,11 +546,15 @@ class IndexedFasta(Format):
         if not files.exists(f.path + ".fai"):
             raise FileNotFoundError(f"{f.path} has no .fai beside it")
         index = bgzf.read_fai(f.path + ".fai")
-        out = []
+        out, missing = [], []
         for text in wanted:
             r = Region.parse(text)
             if r.name in index:
                 out.append((text.strip(), *index[r.name].span(r.interval)))
+            else:
+                missing.append(text.strip())
+        if missing and f.path.rstrip("/") == options["path"].rstrip("/"):  # in a folder another file may hold them
+            raise LookupError(f"{f.path}.fai doesn't hold {', '.join(missing[:5])}")
         return out
 
     def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:

@@ -7,6 +7,7 @@ Columns that a query doesn't use are not parsed: Catalyst prunes the expressions
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -117,16 +118,33 @@ def read_bed(spark: SparkSession, path: str, n_fields: int = 12) -> DataFrame:
     return raw.select(*columns, *_keys(raw))
 
 
-def vcf_header(path: str) -> list[str]:
-    """Header lines of a VCF file, or of the first file of a directory."""
-    first = files.find(path, schemas.EXTENSIONS["vcf"])[0].path
-    out = []
-    with files.open_text(first) as f:
-        for line in files.lines(f):
-            if not line.startswith(b"#"):
-                break
-            out.append(line.decode())
-    return out
+def vcf_headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The different headers of the files at ``path``, without their column lines, each read by a task up to its first record."""
+    found = [f.path for f in files.find(path, schemas.EXTENSIONS["vcf"])]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p in b.column(0).to_pylist():
+                with files.open_text(p) as f:
+                    out.append([x.decode("utf-8", "replace") for x in itertools.takewhile(lambda x: x.startswith(b"##"), files.lines(f))])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["lines"])
+
+    paths = spark.createDataFrame([(p,) for p in found], "path string").repartition(min(len(found), 512))
+    declared = paths.mapInArrow(heads, "lines array<string>").select(F.filter("lines", lambda x: x.rlike("^##(?:INFO|FORMAT)=<")).alias("lines"))
+    return [r["lines"] for r in declared.distinct().orderBy("lines").collect()]
+
+
+def united(declarations: list[list[tuple[str, str, str]]]) -> list[tuple[str, str, str]]:
+    """Fields of all headers; where they differ, integers and decimals become decimals, other types text, and numbers a list."""
+    out: dict[str, tuple[str, str]] = {}
+    for fields in declarations:
+        for name, number, kind in fields:
+            n, k = out.get(name, (number, kind))
+            wide = k if k == kind else "Float" if {k, kind} == {"Integer", "Float"} else "String"
+            single = {"0", "1"}
+            out[name] = (n if n == number else "1" if {n, number} <= single else "."), wide
+    return [(name, *x) for name, x in out.items()]
 
 
 def header_fields(header: list[str], section: str) -> list[tuple[str, str, str]]:
@@ -179,14 +197,14 @@ def vcf_formats(formats: Column, fields: list[tuple[str, str, str]]) -> Column:
     return F.when(formats.isNotNull(), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), sample))
 
 
-def vcf_frame(raw: DataFrame, header: list[str], parse_info: bool, parse_formats: bool) -> DataFrame:
+def vcf_frame(raw: DataFrame, headers: list[list[str]], parse_info: bool, parse_formats: bool) -> DataFrame:
     parts = F.split("value", "\t", 9)
     listed = lambda i, by: F.when(_field(parts, i).isNotNull(), F.split(F.get(parts, i), by))
     info, formats = _field(parts, 7), F.get(parts, 8)
     if parse_info:
-        info = vcf_info(info, header_fields(header, "INFO"))
+        info = vcf_info(info, united([header_fields(h, "INFO") for h in headers]))
     if parse_formats:
-        formats = vcf_formats(formats, header_fields(header, "FORMAT"))
+        formats = vcf_formats(formats, united([header_fields(h, "FORMAT") for h in headers]))
     return raw.select(
         F.get(parts, 0).alias("chrom"), F.get(parts, 1).try_cast("bigint").alias("pos"), F.coalesce(listed(2, ";"), F.array().cast("array<string>")).alias("id"),
         F.get(parts, 3).alias("ref"), listed(4, ",").alias("alt"), F.get(parts, 5).try_cast("float").alias("qual"),
@@ -195,9 +213,9 @@ def vcf_frame(raw: DataFrame, header: list[str], parse_info: bool, parse_formats
 
 
 def read_vcf(spark: SparkSession, path: str, parse_info: bool = False, parse_formats: bool = False) -> DataFrame:
-    """VCF; ``info`` and ``formats`` as raw text, or as typed structs by the header's declarations."""
+    """VCF; ``info`` and ``formats`` as raw text, or as typed structs by the declarations of all headers."""
     raw = _lines(_raw(spark, path, None, schemas.EXTENSIONS["vcf"]), "#")
-    return vcf_frame(raw, vcf_header(path) if parse_info or parse_formats else [], parse_info, parse_formats)
+    return vcf_frame(raw, vcf_headers(spark, path) if parse_info or parse_formats else [], parse_info, parse_formats)
 
 
 def tag_value(kind: str, text: str) -> str:
@@ -225,14 +243,26 @@ _TAG_TYPES = {"i": "int", "f": "float", "Z": "string", "A": "string", "H": "stri
 _ARRAY_TYPES = {"c": "tinyint", "C": "smallint", "s": "smallint", "S": "int", "i": "int", "I": "bigint", "f": "float"}
 
 
-def infer_tags(lines: list[str]) -> list[tuple[str, str]]:
-    """``(tag, Spark type)`` of the tags on alignment lines, first come first."""
-    out: dict[str, str] = {}
-    for line in lines:
-        for t in line.split("\t")[11:]:
-            tag, kind, text = t.split(":", 2)
-            out.setdefault(tag, f"array<{_ARRAY_TYPES[text[0]]}>" if kind == "B" else _TAG_TYPES.get(kind, "string"))
-    return list(out.items())
+def infer_tags(seen: list[str]) -> list[tuple[str, str]]:
+    """``(tag, Spark type)`` by name of tags seen as ``NM:i`` or ``BA:Bs``; one of several types is wide enough for all."""
+    out: dict[str, set[str]] = {}
+    for t in seen:
+        tag, kind = t.split(":", 1)
+        out.setdefault(tag, set()).add(f"array<{_ARRAY_TYPES[kind[1]]}>" if kind[0] == "B" else _TAG_TYPES.get(kind, "string"))
+
+    def wide(kinds: set[str]) -> str:
+        if len(kinds) == 1:
+            return next(iter(kinds))
+        if all(k.startswith("array") for k in kinds):
+            return "array<double>" if "array<float>" in kinds else "array<bigint>"
+        return "double" if kinds == {"int", "float"} else "string"
+
+    return [(tag, wide(kinds)) for tag, kinds in sorted(out.items())]
+
+
+def seen_tags(tags: Column, df: DataFrame) -> list[str]:
+    """The different members of a list of texts, over all records."""
+    return [r[0] for r in df.select(F.explode(tags).alias("t")).distinct().orderBy("t").collect()]
 
 
 def tag_struct(tags: Column, fields: list[tuple[str, str]]) -> Column:
@@ -248,7 +278,7 @@ def tag_struct(tags: Column, fields: list[tuple[str, str]]) -> Column:
 
 
 def read_sam(spark: SparkSession, path: str, parse_tags: bool = False) -> DataFrame:
-    """SAM; ``tags`` as a list of (tag, text), or as a struct of the tags on the first record of each file."""
+    """SAM; ``tags`` as a list of (tag, text), or as a struct of the tags on any record, which are found by a pass over them."""
     raw = _lines(_raw(spark, path, None, schemas.EXTENSIONS["sam"]), "@")
     parts = F.split("value", "\t")
     star = lambda i: F.when(F.get(parts, i) != "*", F.get(parts, i))
@@ -262,11 +292,9 @@ def read_sam(spark: SparkSession, path: str, parse_tags: bool = False) -> DataFr
     mate = F.when(F.get(parts, 6) == "=", star(2)).otherwise(star(6))
     tags = _tags(parts)
     if parse_tags:
-        firsts = []
-        for f in files.find(path, schemas.EXTENSIONS["sam"]):
-            with files.open_text(f.path) as s:
-                firsts += [next((x.decode() for x in files.lines(s) if x and not x.startswith(b"@")), "")]
-        tags = tag_struct(tags, infer_tags(firsts))
+        extra = F.slice(parts, 12, F.greatest(F.size(parts) - 11, F.lit(0)))
+        kinds = F.transform(extra, lambda t: F.when(F.substr(t, F.lit(4), F.lit(1)) == "B", F.concat(F.substr(t, F.lit(1), F.lit(4)), F.substr(t, F.lit(6), F.lit(1)))).otherwise(F.substr(t, F.lit(1), F.lit(4))))
+        tags = tag_struct(tags, infer_tags(seen_tags(kinds, raw)))
     return raw.select(
         F.get(parts, 0).alias("name"), F.get(parts, 1).cast("int").alias("flag"), star(2).alias("reference"), start.alias("start"),
         F.when(cigar != "*", start + span - 1).alias("end"), F.when(mapq != "255", mapq).alias("mapping_quality"), F.when(cigar != "*", cigar).otherwise("").alias("cigar"),

@@ -27,7 +27,8 @@ def write_records(df: DataFrame, path: str, fmt: str, compression: str | None =
     """Write ``df`` and give the bytes written.
 
     Columns are taken by name; one that is missing is an error; null names, descriptions and sequences are empty.  ``single`` makes one
-    file at exactly ``path``, in the order of ``df``; without it ``path`` is a directory of one file per partition, written in parallel.
+    file at exactly ``path``, in the order of ``df``: parts are written in parallel and then joined (compressed members join as well),
+    which only copies bytes.  Without it ``path`` is a directory of one file per partition, written in parallel.
     """
     fmt = fmt.lower()
     if fmt not in COLUMNS:
@@ -46,14 +47,19 @@ def write_records(df: DataFrame, path: str, fmt: str, compression: str | None =
     fs = target.getFileSystem(conf)
     folder = jvm.org.apache.hadoop.fs.Path(target.getParent() or jvm.org.apache.hadoop.fs.Path("."), f"_writing-{uuid.uuid4().hex}") if single else target
     options = {"compression": _CODECS[compression]} if _CODECS[compression] else {}
-    (lines.coalesce(1) if single else lines).write.options(**options).text(folder.toString())
-    parts = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    lines.write.options(**options).text(folder.toString())
+    parts = sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
     size = sum(s.getLen() for s in parts)
     if single:
         fs.delete(target, False)
-        if parts:
+        if len(parts) == 1:
             fs.rename(parts[0].getPath(), target)
         else:
-            fs.create(target).close()
+            out = fs.create(target)
+            for p in parts:
+                part = fs.open(p.getPath())
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 4 << 20, False)
+                part.close()
+            out.close()
         fs.delete(folder, True)
     return size

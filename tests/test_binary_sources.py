@@ -153,12 +153,86 @@ def test_fastq_splits(gx, tmp_path):
     assert gx.read_fastq(str(tmp_path / "y.fastq.gz")).count() == 500
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_fastq_line_ends_and_blank_lines(gx, tmp_path, end):
+    text = "".join(f"@r{i}{' d' if i % 3 else ''}{end}{'ACGT' * (i % 4)}{end}+r{end}{'@+II' * (i % 4)}{end}{end if i % 7 == 0 else ''}" for i in range(3000))
+    (tmp_path / "x.fastq").write_bytes(text.encode())
+    for size in (5000, 50_000, 10**7):
+        rows = gx.read_fastq(str(tmp_path / "x.fastq"), split=size).collect()
+        assert sorted((r.name, r.description, r.sequence, r.quality_scores) for r in rows) == sorted((f"r{i}", "d" if i % 3 else None, "ACGT" * (i % 4), "@+II" * (i % 4)) for i in range(3000))
+    (tmp_path / "bad.fastq").write_text("@a\nAC\n+\nII\nxx\nAC\n+\nII\n")
+    with pytest.raises(Exception, match="not a FASTQ record"):
+        gx.read_fastq(str(tmp_path / "bad.fastq")).collect()
+    (tmp_path / "cut.fastq").write_text("@a\nAC\n+\nII\n@b\nAC\n")
+    with pytest.raises(Exception, match="ends within a record"):
+        gx.read_fastq(str(tmp_path / "cut.fastq")).collect()
+
+
+def test_fastq_long_records(gx, tmp_path):
+    """Records longer than a split and than a chunk are read once each."""
+    n = 3_000_000
+    (tmp_path / "x.fastq").write_text("".join(f"@r{i}\n{'ACGT' * (n // 4)}\n+\n{'@' * n}\n" for i in range(4)))
+    rows = gx.read_fastq(str(tmp_path / "x.fastq"), split=5_000_000).selectExpr("name", "length(sequence) AS s", "length(quality_scores) AS q").collect()
+    assert sorted(map(tuple, rows)) == [(f"r{i}", n, n) for i in range(4)]
+
+
+def test_tags_of_any_record(gx, tmp_path):
+    nm, md = b"NMC\x03", b"MDZ10\0"
+    for k, tags in enumerate(([nm, nm + md], [b"NMf" + struct.pack("<f", 1.5), b""])):
+        data, _ = builders.bam([("c", 100)], [(f"x{k}{i}", 0, 0, 1, 9, [(2, "M")], "AC", None, t) for i, t in enumerate(tags)])
+        (tmp_path / f"{k}.bam").write_bytes(data)
+    df = gx.read_bam(str(tmp_path) + "/", parse_tags=True)
+    got = {r.name: (r.NM, r.MD) for r in df.select("name", "tags.*").collect()}
+    assert got == {"x00": (3.0, None), "x01": (3.0, "10"), "x10": (1.5, None), "x11": (None, None)}
+
+
+def test_bam_columns_agree_with_records(gx, tmp_path):
+    """The column decoder against the record decoder, long cigars, odd lengths and missing parts included."""
+    import io
+    import random
+
+    rng = random.Random(6)
+    long_cigar = b"CGBI" + struct.pack("<i3I", 3, 4 << 4, 5 << 4 | 2, 3 << 4 | 7)
+    rows = []
+    for i in range(700):
+        n = rng.randrange(0, 40)
+        seq = "".join(rng.choice("ACGTN") for _ in range(n))
+        if i % 50 == 7:
+            n, seq = 7, "ACGTACG"
+            rows.append((f"long{i}", 0, 0, 5, 60, [(7, "S"), (12, "N")], seq, None, b"NMC\x01" + long_cigar))
+        else:
+            cigar = [(rng.randrange(1, 300), rng.choice("MIDNSHP=X")) for _ in range(rng.randrange(0, 5))]
+            rows.append((f"r{i}", rng.randrange(4096), rng.choice([0, 1, -1]), rng.choice([-1, 10, 10**8]), rng.choice([0, 60, 255]), cigar, seq, [rng.randrange(0, 60) for _ in seq] if i % 3 else None, rng.choice([b"", b"NMC\x03", b"RGZ\0"])))
+    data, _ = builders.bam([("a", 10**9), ("b", 10**9)], rows)
+    (tmp_path / "x.bam").write_bytes(data)
+    reader = bgzf.Reader(io.BytesIO(data))
+    names = [n for n, _ in bam.read_header(reader)[1]]
+    want = [(*r[:-1], [(t, v) for t, _, v in r[-1]]) for r in bam.records(reader, names)]
+    got = [(*r[:-1], [tuple(t) for t in r[-1]]) for r in gx.read_bam(str(tmp_path / "x.bam")).collect()]
+    assert got == want and len(got) == 700
+    gx.register_table("cols", str(tmp_path / "x.bam"), "BAM", {})
+    one = gx.sql("SELECT count(*) AS n FROM cols WHERE flag > 100")
+    assert one.first().n == sum(r[1] > 100 for r in want)
+
+
+def test_bcf_with_two_headers(gx, tmp_path):
+    head = lambda *info: "##fileformat=VCFv4.2\n" + "".join(f'##INFO=<ID={i},Number={n},Type={t},Description="d",IDX={k}>\n' for k, (i, n, t) in enumerate(info, 1)) + "##contig=<ID=c,IDX=0>\n#CHROM\n"
+    one = builders.bcf(head(("DP", "1", "Integer")), [(0, 4, None, "a", ["A"], [0], [builders.typed_ints([1]) + builders.typed_ints([5])], [], 0)])
+    two = builders.bcf(head(("DP", "1", "Float"), ("XX", "1", "Integer")), [(0, 5, None, "b", ["A"], [0], [builders.typed_ints([1]) + builders.typed_floats([2.5]), builders.typed_ints([2]) + builders.typed_ints([7])], [], 0)])
+    (tmp_path / "1.bcf").write_bytes(one)
+    (tmp_path / "2.bcf").write_bytes(two)
+    got = sorted(tuple(r) for r in gx.read_bcf(str(tmp_path) + "/").select("pos", "info.DP", "info.XX").collect())
+    assert got == [(5, 5.0, None), (6, 2.5, 7)]
+
+
 def test_indexed_fasta(gx, tmp_path):
     (tmp_path / "x.fasta").write_text(">a d\nATC\nG\n>b\nGGTT\n")
     (tmp_path / "x.fasta.fai").write_text("a\t4\t5\t3\t4\nb\t4\t14\t4\t5\n")
     path = str(tmp_path / "x.fasta")
     q = lambda r: [tuple(x) for x in gx.sql(f"SELECT id, description, sequence FROM fasta_indexed_scan('{path}', '{r}')").collect()]
-    assert q("a") == [("a", None, "ATCG")] and q("a:3-4") == [("a:3-4", None, "CG")] and q("a:1-2") == [("a:1-2", None, "AT")] and q("zz") == []
+    assert q("a") == [("a", None, "ATCG")] and q("a:3-4") == [("a:3-4", None, "CG")] and q("a:1-2") == [("a:1-2", None, "AT")]
+    with pytest.raises(Exception, match="doesn't hold zz"):
+        q("zz")
     (tmp_path / "regions.txt").write_text("a:3-4\nb\n")
     assert sorted(q(tmp_path / "regions.txt")) == [("a:3-4", None, "CG"), ("b", None, "GGTT")]
 

@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixlake.plans import statements
 from helixlake.plans.region import Interval, Region, parse_interval
@@ -29,8 +30,47 @@ def test_statements():
         statements.parse("CREATE EXTERNAL TABLE t STORED AS FASTA")
     view = lambda kind, args: f"<{kind}:{','.join(args)}>"
     assert statements.rewrite("SELECT 'make_array(1)', make_array(1) FROM fasta_scan('a', 'gzip') x", view) == "SELECT 'make_array(1)', array(1) FROM <fasta:a,gzip> x"
-    assert statements.rewrite("vcf_region_filter('1', chrom) AND vcf_region_filter('1')", view) == "vcf_region_filter2('1', chrom) AND vcf_region_filter3('1', chrom, pos)"
-    assert statements.rewrite("bam_region_filter('1:2-3', b.reference) AND x", view) == "bam_region_filter4('1:2-3', b.reference, b.start, b.`end`) AND x"
+    assert statements.rewrite("vcf_region_filter('1', chrom) AND vcf_region_filter('1')", view) == "vcf_region_filter('1', chrom) AND vcf_region_filter('1', chrom, pos)"
+    assert statements.rewrite("bam_region_filter('1:2-3', b.reference) AND x", view) == "bam_region_filter('1:2-3', b.reference, b.start, b.`end`) AND x"
+
+
+def test_region_functions_in_plain_sql(gx, spark):
+    """The registered names work without the session's wrapper and agree with the Column forms."""
+    from helixlake.functions import variant
+
+    df = spark.createDataFrame([("chr1", 5), ("chr1", 15_000), ("HLA-A*01:01", 7), (None, 5), ("chr1", None), ("chr2", 5)], "chrom string, pos bigint")
+    df.createOrReplaceTempView("sites")
+    for region in ("chr1", "chr1:5", "chr1:10,000-20,000", "chr1:1-5", "{HLA-A*01:01}", "{HLA-A*01:01}:1-7", "{HLA-A*01:01}:8-9", "chr9"):
+        same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert same(spark.sql(f"SELECT * FROM sites WHERE vcf_region_filter('{region}', chrom, pos)"), df.where(variant.point_filter(region, "chrom", "pos"))), region
+        assert same(spark.sql(f"SELECT * FROM sites WHERE gff_region_filter('{region}', chrom)"), df.where(variant.point_filter(region, "chrom"))), region
+        assert same(spark.sql(f"SELECT * FROM sites WHERE bam_region_filter('{region}', chrom, pos, pos + 2)"), df.where(variant.overlap_filter(region, "chrom", "pos", F.col("pos") + 2))), region
+        assert same(spark.sql(f"SELECT * FROM sites WHERE chrom IS NOT NULL AND pos IS NOT NULL AND region_match(chrom, pos, '{region}')"), df.where(variant.point_filter(region, "chrom", "pos")))
+    with pytest.raises(Exception, match="not a region"):
+        spark.sql("SELECT vcf_region_filter(':1-2', chrom) FROM sites").collect()
+
+
+def test_columns_of():
+    ask = lambda q: statements.columns_of(q, "t", ["flag", "name", "reference", "start", "end"])
+    assert ask("SELECT name FROM t WHERE flag = 1") == ["flag", "name"] and ask("SELECT count(*) FROM t") == ["flag"] and ask("SELECT * FROM t") is None
+    assert ask("SELECT count(*) FROM t WHERE bam_region_filter('c', reference)") == ["reference", "start", "end"] and ask("SELECT name FROM t JOIN u") is None
+    assert ask("SELECT 'name' AS x, flag FROM t") == ["flag"] and ask("SELECT name FROM (SELECT * FROM t)") is None
+
+
+def test_copy_refuses_and_counts(gx, tmp_path):
+    assert gx.sql(f"COPY (SELECT id FROM range(7)) TO '{tmp_path}/x' STORED AS PARQUET").first()["count"] == 7
+    with pytest.raises(Exception, match="EXISTS"):
+        gx.sql(f"COPY (SELECT id FROM range(7)) TO '{tmp_path}/x' STORED AS PARQUET")
+
+
+def test_copy_joins_parts(gx, spark, tmp_path):
+    """A single file comes from parts that are written in parallel, in the order of the query."""
+    df = spark.range(0, 1000, 1, 7).selectExpr("cast(id AS string) AS id", "null AS description", "repeat('AC', cast(id % 5 AS int)) AS sequence")
+    df.createOrReplaceTempView("many")
+    gx.sql(f"COPY many TO '{tmp_path}/a.fasta' STORED AS FASTA")
+    gx.sql(f"COPY many TO '{tmp_path}/a.fasta.gz' STORED AS FASTA OPTIONS (compression gzip)")
+    text = "".join(f">{i}\n{'AC' * (i % 5)}\n" for i in range(1000))
+    assert (tmp_path / "a.fasta").read_text() == text and gzip.decompress((tmp_path / "a.fasta.gz").read_bytes()).decode() == text
 
 
 def test_prunable():

@@ -78,6 +78,21 @@ VCF = """##fileformat=VCFv4.2
 """
 
 
+def test_vcf_of_two_headers(gx, tmp_path):
+    head = lambda *xs: "##fileformat=VCFv4.2\n" + "".join(f'##INFO=<ID={i},Number={n},Type={t},Description="d">\n' for i, n, t in xs) + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    (tmp_path / "a.vcf").write_text(head(("DP", "1", "Integer")) + "c\t1\t.\tA\tC\t.\t.\tDP=5\n")
+    (tmp_path / "b.vcf").write_text(head(("DP", "1", "Float"), ("XX", "1", "Integer")) + "c\t2\t.\tA\tC\t.\t.\tDP=2.5;XX=7\n")
+    got = sorted(tuple(r) for r in gx.read_vcf(str(tmp_path) + "/", parse_info=True).select("pos", "info.DP", "info.XX").collect())
+    assert got == [(1, 5.0, None), (2, 2.5, 7)]
+
+
+def test_sam_tags_of_any_record(gx, tmp_path):
+    line = "{}\t0\tc\t1\t9\t2M\t*\t0\t0\tAC\tII{}\n"
+    (tmp_path / "a.sam").write_text("@HD\tVN:1.6\n" + line.format("x", "\tNM:i:1") + line.format("y", "\tMD:Z:2\tNM:f:1.5"))
+    got = {r.name: (r.NM, r.MD) for r in gx.read_sam(str(tmp_path / "a.sam"), parse_tags=True).select("name", "tags.*").collect()}
+    assert got == {"x": (1.0, None), "y": (1.5, "2")}
+
+
 def test_vcf(gx, tmp_path):
     p = write(tmp_path / "a.vcf", VCF)
     a, b = gx.read_vcf(p).collect()
@@ -176,7 +191,7 @@ def test_inference():
     assert schemas.infer_type("s3://b/x.vcf.gz") == ("vcf", "gzip") and schemas.infer_type("a.FNA") == ("fasta", None) and schemas.infer_type("a.bw")[0] == "bigwig_value"
     with pytest.raises(ValueError, match="no file type"):
         schemas.infer_type("a.txt")
-    assert text.infer_tags(["\t" * 10 + "x\tAA:i:1\tBB:B:C,1\tAA:Z:z"]) == [("AA", "int"), ("BB", "array<smallint>")]
+    assert text.infer_tags(["AA:i", "BB:BC", "AA:Z", "CC:i", "DD:f", "DD:i", "BC:Bf", "BC:Bc"]) == [("AA", "string"), ("BB", "array<smallint>"), ("BC", "array<double>"), ("CC", "int"), ("DD", "double")]
 
 
 def test_find(tmp_path):
