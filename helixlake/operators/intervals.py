@@ -1,12 +1,13 @@
 """Problem 7: islands and gaps of intervals per entity.
 
 Sort by start, compare each start with the running maximum of the earlier ends, label islands by a cumulative count.  To keep an
-entity that holds a third of all rows out of one task, the sort is done per block of positions:
+entity that holds a third of all rows out of one task, the sort is done per block:
 
-1. rows with equal entity and start are reduced to their largest end by a partial aggregate, so a block holds at most ``block`` rows
-   however often its positions are covered;
-2. each block's largest end and number of islands are carried over the entity's earlier blocks, one small row a block;
-3. inside a block the running maximum begins with what was carried in.
+1. rows with equal entity and start are reduced to their largest end by a partial aggregate;
+2. the distinct starts are cut by range, in the order of entity and start, into blocks of about ``BLOCK`` rows, whatever the unit and
+   the density of the positions;
+3. each block's largest end and number of islands are carried over the entity's earlier blocks, one small row a block;
+4. inside a block the running maximum begins with what was carried in.
 
 Rows with a null bound or a null entity are ignored; reversed bounds are swapped; touching intervals (end + 1 = next start) join.
 """
@@ -17,23 +18,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Positions of a block, and so the most rows that one window sorts.
-BLOCK = 1 << 16
+from helixlake.runtime import stored
+
+#: Rows of a block, which one window sorts.
+BLOCK = 1 << 18
 
 
 def _swept(rows: DataFrame, entity: str, start: Column | str, end: Column | str, block: int) -> DataFrame:
-    """Distinct starts with ``hi``, the largest earlier end ``prev`` (null at an entity's first) and its island."""
+    """Distinct starts with ``hi``, the largest earlier end ``prev`` (null at an entity's first) and their block."""
     lo, hi = F.least(F.col(start), F.col(end)), F.greatest(F.col(start), F.col(end))
     spans = (
         rows.where(F.col(entity).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull())
         .select(F.col(entity).alias("entity"), lo.alias("lo"), hi.alias("hi"))
         .groupBy("entity", "lo")
         .agg(F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .withColumn("block", F.floor(F.col("lo") / block))
     )
+    spans = stored(spans)
+    blocks = -(-spans.count() // block)
+    before = Window.partitionBy("entity", "block").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    if blocks < 2:
+        return spans.withColumn("block", F.lit(0)).withColumn("prev", F.max("hi").over(before))
+    # Written, as the cuts of a range are sampled and another run might place them elsewhere.
+    spans = stored(spans.repartitionByRange(blocks, "entity", "lo").withColumn("block", F.spark_partition_id()))
     earlier_blocks = Window.partitionBy("entity").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.groupBy("entity", "block").agg(F.max("hi").alias("top")).withColumn("carry", F.max("top").over(earlier_blocks)).drop("top")
-    before = Window.partitionBy("entity", "block").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     return spans.join(carried, ["entity", "block"]).withColumn("prev", F.greatest(F.max("hi").over(before), F.col("carry"))).drop("carry")
 
 
