@@ -76,7 +76,7 @@ def p5_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_migrations(spark: SparkSession, d: str) -> DataFrame:
-    return drift.migrations(*_drift(spark, d))
+    return drift.migrations(*_drift(spark, d)).drop("old_name", "old_type", "new_type")
 
 
 def p5_sam_table(spark: SparkSession, d: str) -> DataFrame:
@@ -93,11 +93,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    return gtf_grammar.records(table(spark, d, "gtf_lines"))
+    return gtf_grammar.records(table(spark, d, "gtf_lines")).withColumn("n_attributes", F.size("attributes")).drop("record_no", "attributes")
 
 
 def p6_faults(spark: SparkSession, d: str) -> DataFrame:
-    return gtf_grammar.faults(table(spark, d, "gtf_lines"))
+    return gtf_grammar.faults(table(spark, d, "gtf_lines")).select("line_id", "record_no", "reason")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -159,8 +159,33 @@ SELECT file_id, field AS field_name, 'added' AS change_kind FROM new ANTI JOIN r
 UNION ALL SELECT file_id, field, 'removed' FROM gone ANTI JOIN r ON r.file_id = gone.file_id AND r.old = gone.field
 UNION ALL SELECT n.file_id, n.field, 'retyped' FROM n JOIN o ON n.file_id = o.file_id AND n.field = o.field WHERE n.kind <> o.kind
 UNION ALL SELECT file_id, new, 'renamed' FROM r"""
+_FIELDS = r"""
+WITH v AS (SELECT file_id, feed, file_format, CAST(row_number() OVER w AS INTEGER) AS version, lag(file_id) OVER w AS previous FROM source_files WHERE file_format IN ('SAM', 'VCF') WINDOW w AS (PARTITION BY feed, file_format ORDER BY written_at, file_id)),
+t AS (SELECT file_id, unnest(tags) AS t FROM reads),
+a AS (SELECT file_id, t.tag AS field, CASE max(CASE WHEN regexp_full_match(t.value, '[+-]?[0-9]+') THEN 0 WHEN regexp_full_match(t.value, '[+-]?[0-9]+[.][0-9]+') THEN 1 ELSE 2 END) WHEN 0 THEN 'integer' WHEN 1 THEN 'decimal' ELSE 'text' END AS kind
+    FROM t GROUP BY file_id, t.tag
+  UNION ALL SELECT DISTINCT file_id, regexp_extract(line, '[<,]ID=([^,>]+)', 1), regexp_extract(line, 'Number=([^,>]+)', 1) || ' ' || regexp_extract(line, 'Type=([^,>]+)', 1) FROM file_headers WHERE line LIKE '##INFO=<%'),
+s AS (SELECT file_id, count(*) AS n_fields, sha256(string_agg(field || chr(9) || kind, chr(10) ORDER BY field || chr(9) || kind)) AS fingerprint FROM a GROUP BY file_id)"""
+_PART = (
+    _LEVELS
+    + ", wl AS (SELECT spectrum_key, precursor_ix, "
+    + _LIST.replace("{x}", "json_extract(p, '$.<part>')")
+    + """ AS l FROM p WHERE json_type(p) = 'OBJECT'),
+w AS (SELECT spectrum_key, precursor_ix, generate_subscripts(l, 1) - 1 AS param_ix, unnest(l) AS c FROM wl)
+SELECT spectrum_key, CAST(precursor_ix AS INTEGER) AS precursor_ix, CAST(param_ix AS INTEGER) AS param_ix, json_extract_string(c, '$.accession') AS accession, json_extract_string(c, '$.name') AS name, json_extract_string(c, '$.value') AS "value"
+FROM w WHERE json_type(c) = 'OBJECT'"""
+)
 SQL: dict[str, str] = {
     "p5_found": _DRIFT,
+    "p5_versions": f"""{_FIELDS} SELECT v.file_id, v.feed, v.file_format, v.version, coalesce(n_fields, 0) AS n_fields, coalesce(fingerprint, '') AS fingerprint, coalesce(c.n, 0) AS n_changes
+        FROM v LEFT JOIN s ON s.file_id = v.file_id LEFT JOIN (SELECT file_id, count(*) AS n FROM ({_DRIFT}) GROUP BY file_id) c ON c.file_id = v.file_id""",
+    "p5_migrations": f"""{_FIELDS} SELECT v.file_id, v.feed, v.version, coalesce(b.fingerprint, '') AS from_fingerprint, coalesce(s.fingerprint, '') AS to_fingerprint, d.change_kind AS operation, d.field_name AS field
+        FROM ({_DRIFT}) d JOIN v ON v.file_id = d.file_id LEFT JOIN s ON s.file_id = v.file_id LEFT JOIN s b ON b.file_id = v.previous""",
+    "p4_isolation_windows": _PART.replace("<part>", "isolation_window"),
+    "p4_activations": _PART.replace("<part>", "activation"),
+    "p6_records": f"""{_GTF} SELECT r.line_id, f[1] AS seqname, f[2] AS source, f[3] AS feature_type, CAST(f[4] AS BIGINT) AS start_pos, CAST(f[5] AS BIGINT) AS end_pos, TRY_CAST(nullif(f[6], '.') AS DOUBLE) AS score, f[7] AS strand,
+        nullif(f[8], '.') AS frame, CAST(len(list_distinct(regexp_extract_all(f[9], '([^ ";]+) +("[^"]*"|[0-9.eE+-]+)', 1))) AS INTEGER) AS n_attributes FROM r JOIN l ON l.line_id = r.line_id WHERE reason IS NULL""",
+    "p6_faults": f"{_GTF} SELECT line_id, CAST(0 AS INTEGER) AS record_no, reason FROM r WHERE reason IS NOT NULL",
     "p4_found": f"{_LEVELS} SELECT {_KEYS} FROM c WHERE json_type(c) = 'OBJECT'",
     "p4_ion_params": f"{_LEVELS} SELECT {_KEYS}, json_extract_string(c, '$.accession') AS accession, json_extract_string(c, '$.name') AS name, json_extract_string(c, '$.value') AS \"value\" FROM c WHERE json_type(c) = 'OBJECT'",
     "p4_ions": f"{_LEVELS} SELECT spectrum_key, CAST(precursor_ix AS INTEGER) AS precursor_ix, CAST(ion_ix AS INTEGER) AS ion_ix, CAST(len(l) AS INTEGER) AS n_params FROM cl",

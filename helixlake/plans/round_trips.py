@@ -61,7 +61,7 @@ def scan_fasta_partitioned(spark: SparkSession, d: str) -> DataFrame:
 def scan_fastq(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
     scores = F.array_join(F.transform("quality_score", lambda q: F.char(q + 33)), "")
-    reads = table(spark, d, "reads").where("sequence IS NOT NULL AND size(quality_score) = length(sequence)")
+    reads = table(spark, d, "reads").withColumn("sequence", F.coalesce("sequence", F.lit(""))).withColumn("quality_score", F.coalesce("quality_score", F.array().cast("array<bigint>")))
     writers.write_records(reads.select(F.concat_ws("_", F.lit("r"), F.col("read_id").cast("string")).alias("name"), F.col("cigar").alias("description"), "sequence", scores.alias("quality_scores")), path, "fastq", single=False)
     binary.register(spark)
     return spark.read.format("fastq").option("path", path + "/").option("extension", ".txt").load()
@@ -84,8 +84,8 @@ def scan_gff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_bed(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "gtf_features").where("start_pos IS NOT NULL AND end_pos IS NOT NULL")
-    path = _lines(f, [F.col("seqname"), F.col("start_pos"), F.col("end_pos"), F.col("feature_id"), F.lit("0"), F.col("strand")], ["# features"])
+    f = table(spark, d, "gtf_features")
+    path = _lines(f, [F.col("seqname"), _or_dot("start_pos"), _or_dot("end_pos"), F.col("feature_id"), F.lit("0"), F.col("strand")], ["# features"])
     return text.read_bed(spark, path, 6).select("reference_sequence_name", "start", F.col("end").alias("stop"), F.col("name").cast("long").alias("feature_id"), "score", "strand")
 
 
@@ -135,12 +135,12 @@ SQL: dict[str, str] = {
     "scan_fasta": f"SELECT concat_ws('_', id, contig_id) AS id, nullif(trim(description), '') AS description, length({_LETTERS}) AS size, md5({_LETTERS}) AS digest FROM contigs",
     "copy_fasta_gzip": f"SELECT concat_ws('_', id, contig_id) AS id, md5({_LETTERS}) AS digest FROM contigs",
     "scan_fasta_partitioned": "SELECT concat_ws('_', id, contig_id) AS id, mol_type FROM contigs WHERE mol_type = 'protein'",
-    "scan_fastq": """SELECT concat_ws('_', 'r', read_id) AS name, cigar AS description, sequence, array_to_string(list_transform(quality_score, lambda x: chr(CAST(x + 33 AS INTEGER))), '') AS quality_scores
-        FROM reads WHERE sequence IS NOT NULL AND len(quality_score) = length(sequence)""",
+    "scan_fastq": """SELECT concat_ws('_', 'r', read_id) AS name, cigar AS description, coalesce(sequence, '') AS sequence, array_to_string(list_transform(coalesce(quality_score, []), lambda x: chr(CAST(x + 33 AS INTEGER))), '') AS quality_scores
+        FROM reads""",
     "scan_gtf": """SELECT seqname, source, feature_type AS type, start_pos AS start, end_pos AS stop, round(CAST(score AS DOUBLE), 4) AS score, nullif(frame, '.') AS frame,
         CAST(cardinality(attributes) AS INTEGER) AS n, attributes['gene_id'] AS gene_id FROM gtf_features WHERE attributes IS NOT NULL""",
     "scan_gff": """SELECT seqname, feature_type AS type, start_pos AS start, end_pos AS stop, nullif(frame, '.') AS phase, attributes['transcript_id'] AS transcript_id FROM gtf_features WHERE attributes IS NOT NULL""",
-    "scan_bed": "SELECT seqname AS reference_sequence_name, start_pos AS start, end_pos AS stop, feature_id, CAST(0 AS BIGINT) AS score, strand FROM gtf_features WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL",
+    "scan_bed": "SELECT seqname AS reference_sequence_name, start_pos AS start, end_pos AS stop, feature_id, CAST(0 AS BIGINT) AS score, strand FROM gtf_features",
     "scan_vcf": """SELECT chrom, pos, array_to_string(id, ';') AS ids, ref_allele AS ref, array_to_string(alt_alleles, ',') AS alts, round(CAST(qual AS DOUBLE), 3) AS qual,
         array_to_string(filters, ';') AS filters, info FROM variants""",
     "scan_vcf_typed": """SELECT chrom, pos, TRY_CAST(nullif(regexp_extract(';' || info, ';DP=([^;]*)', 1), '') AS INTEGER) AS dp, contains(';' || info || ';', ';LOWC;') AS lowc,

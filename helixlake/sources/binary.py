@@ -538,6 +538,8 @@ class IndexedFasta(Format):
     """Slices of FASTA records by region (option ``regions``, separated by ``;``) through a ``.fai``."""
 
     name, ddl = "indexed_fasta", schemas.FASTA
+    #: Regions that one task reads.
+    REGIONS = 256
 
     def parts(self, f: files.Found, region: Region | None, options: dict) -> list[tuple]:
         wanted = [r for r in options.get("regions", "").split(";") if r.strip()]
@@ -550,16 +552,18 @@ class IndexedFasta(Format):
         for text in wanted:
             r = Region.parse(text)
             if r.name in index:
-                out.append((text.strip(), *index[r.name].span(r.interval)))
+                out.append((text.strip(), *index[r.name].span(r.interval)[:2]))
             else:
                 missing.append(text.strip())
         if missing and f.path.rstrip("/") == options["path"].rstrip("/"):  # in a folder another file may hold them
             raise LookupError(f"{f.path}.fai doesn't hold {', '.join(missing[:5])}")
-        return out
+        return [tuple(out[k : k + self.REGIONS]) for k in range(0, len(out), self.REGIONS)]
 
     def rows(self, part: Part, options: dict, schema: T.StructType) -> Iterator[tuple]:
-        text, start, end, _ = part.what
-        yield text, None, files.read_range(part.path, start, end).translate(None, b"\r\n ").decode()
+        with files.open_raw(part.path) as f:
+            for text, start, end in part.what:
+                f.seek(start)
+                yield text, None, f.read(end - start).translate(None, b"\r\n ").decode()
 
 
 FORMATS: list[type[Format]] = [Fastq, Alignments, IndexedAlignments, Cram, Variants, IndexedVcf, IndexedGff, BigwigValue, BigwigZoom, Cytometry, IndexedFasta]
