@@ -2,8 +2,9 @@
 
 The items' word sequences form one generalised suffix automaton.  Each document's words are streamed through it; the automaton's
 state is at any moment the longest passage of any item that ends at the current word, so that one pass finds every shared passage,
-whatever its length, in time proportional to the document.  The automaton has at most two states per item word.  It travels in the
-task closure, so the items' total size is checked first (``MAX_ITEM_WORDS``); the corpus is only streamed, never shuffled.
+whatever its length, in time proportional to the document.  The automaton has at most two states per item word, together about
+``WORD_BYTES`` of memory, and travels in the task closure: ``leaks`` builds one for each ``MAX_ITEM_WORDS`` words of items and reads the
+corpus once for each, so that test material of any size is searched with bounded memory.  The corpus is only streamed, never shuffled.
 
 Words are runs of letters and digits in lower case, after mail transfer encodings and mark-up have been undone.  The subject isn't
 searched.  Null or empty texts hold no words and leak nothing; items of fewer words than ``min_words`` can't leak; equal items are
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +27,11 @@ from helixlake.llm import mail
 MIN_WORDS = 12
 #: Share of a document's words inside leaked passages from which on the whole document is to be dropped.
 MAX_COVERAGE = 0.5
-#: Bound on the test material's words: the automaton is kept by every task.
-MAX_ITEM_WORDS = 5_000_000
+#: Memory of an automaton per item word as measured, and words of one automaton (about 600 MB; an item is never cut).
+WORD_BYTES = 1_500
+MAX_ITEM_WORDS = 400_000
+#: Characters of all items that the driver takes.
+MAX_ITEM_CHARACTERS = 1 << 30
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -108,19 +113,34 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _automaton(items: DataFrame, min_words: int) -> SuffixAutomaton:
+def _automata(items: DataFrame, min_words: int) -> Iterator[SuffixAutomaton]:
+    """Automata of about ``MAX_ITEM_WORDS`` words each; one of no words if there are no items."""
     rows = items.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     size = rows.selectExpr("coalesce(sum(length(text)), 0) AS n").first()["n"]
-    if size > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"{size} characters of test items; the automaton is bounded by {MAX_ITEM_WORDS} words")
-    return SuffixAutomaton([(r["item_id"], words_of(r["text"])) for r in rows.collect()], min_words)
+    if size > MAX_ITEM_CHARACTERS:
+        raise ValueError(f"{size} characters of test items; the driver takes {MAX_ITEM_CHARACTERS}")
+    group: list[tuple[int, list[str]]] = []
+    n = 0
+    for r in rows.collect():
+        words = words_of(r["text"])
+        if group and n + len(words) > MAX_ITEM_WORDS:
+            yield SuffixAutomaton(group, min_words)
+            group, n = [], 0
+        group.append((r["item_id"], words))
+        n += len(words)
+    yield SuffixAutomaton(group, min_words)
 
 
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, item_id, words, longest)``: each document with each item it leaks, its words inside the item's passages and the
     longest passage."""
-    automaton = _automaton(items, min_words)
+    found = [_leaks(documents, a) for a in _automata(items, min_words)]
+    # An item stands in one automaton, unless its id is given to several texts.
+    out = reduce(DataFrame.unionByName, found)
+    return out if len(found) == 1 else out.groupBy("doc_id", "item_id").agg(F.sum("words").alias("words"), F.max("longest").alias("longest"))
 
+
+def _leaks(documents: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
@@ -146,7 +166,10 @@ def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, ma
     ``text`` is the decoded body without the leaked passages; null if the document's coverage is over ``max_coverage`` (then
     ``dropped``) or its text is null.
     """
-    automaton = _automaton(items, min_words)
+    first, *more = _automata(items, min_words)
+    if more:
+        raise ValueError(f"spans are removed for at most {MAX_ITEM_WORDS} words of test items; clean the result of one part of the items with the next")
+    automaton = first
     names = ["doc_id", "n_words", "n_leaked", "coverage", "dropped", "text"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string()]
 

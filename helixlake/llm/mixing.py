@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from helixlake.runtime import stored
 
@@ -47,10 +50,12 @@ def encoding(path: str):
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, source, n_tokens)`` of every document."""
+    """``(doc_id, source, n_tokens)`` of every document.  The driver's vocabulary file is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(tokenizer).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "n_tokens"])
@@ -90,22 +95,17 @@ def _mixed(documents: DataFrame, targets: DataFrame, budget: float | None, token
     for level in range(1, LEVELS + 1):
         if not edge:
             break
-        bounds = F.broadcast(spark.createDataFrame([(s, p) for s, (p, _) in edge.items()], "source string, prefix long"))
+        bounds = F.broadcast(spark.createDataFrame([(s, p, float(left)) for s, (p, left) in edge.items()], "source string, prefix long, left double"))
         bucket = F.shiftright("h", BITS * (LEVELS - level))
         inside = counts.join(bounds, "source").where(F.shiftright(bucket, BITS) == F.col("prefix"))
-        sums: dict[str, list[tuple[int, int]]] = {}
-        for r in inside.groupBy("source", bucket.alias("b")).agg(F.sum("n_tokens").alias("t")).collect():  # at most 2**BITS a source
-            sums.setdefault(r["source"], []).append((r["b"], r["t"]))
+        sums = inside.groupBy("source", "left", bucket.alias("b")).agg(F.sum("n_tokens").alias("t"))  # at most 2**BITS a source
+        upto = F.sum("t").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        over = F.min(F.when(F.col("upto") > F.col("left"), F.struct("b", (F.col("left") - F.col("upto") + F.col("t")).alias("rest"))))
+        found = sums.withColumn("upto", upto).groupBy("source", "left").agg(over.alias("over"), F.max("upto").alias("all")).collect()  # a row a source
+        rest = {r["source"]: (r["over"]["b"], r["over"]["rest"]) if r["over"] else (None, r["left"] - r["all"]) for r in found}
         for s, (prefix, left) in edge.items():
-            at = (prefix + 1) << BITS
-            for b, t in sorted(sums.get(s, [])):
-                if t > left:
-                    at = b
-                    break
-                left -= t
-            else:
-                at -= 1
-            edge[s] = (at, left)
+            at, left = rest.get(s, (None, left))
+            edge[s] = (((prefix + 1) << BITS) - 1 if at is None else at, left)
     plan = [(s, q[2], edge[s][0] if s in edge else 0) for s, q in quotas.items()]
     uses = F.broadcast(spark.createDataFrame(plan, "source string, whole int, below long"))
     used = counts.join(uses, "source", "left").withColumn("copies", F.coalesce(F.col("whole") + (F.col("h") < F.col("below")).cast("int"), F.lit(0)))

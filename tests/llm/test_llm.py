@@ -262,6 +262,18 @@ def test_leaks(spark):
     assert clean[2].dropped and clean[2].text is None and clean[3].n_words == 0
 
 
+def test_items_of_any_size(spark, monkeypatch):
+    """Items that don't fit into one automaton are searched by several, with the same result."""
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(20)]
+    docs = [(i, f"intro {items[i % 20][1]} and {items[(i * 7) % 20][1]}") for i in range(60)]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    whole = sorted(map(tuple, leakage.leaks(d, t, 5).collect()))
+    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 30)
+    assert sorted(map(tuple, leakage.leaks(d, t, 5).collect())) == whole and len(whole) > 60
+    with pytest.raises(ValueError, match="at most 30"):
+        leakage.clean(d, t, 5)
+
+
 def test_automaton_is_bounded():
     words = [random.Random(3).choice("abc") for _ in range(500)]
     a = leakage.SuffixAutomaton([(1, words), (2, words[100:300])])
