@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from helixlake.functions import alignment, massspec, sequence, variant
 from helixlake.plans import joins
-from helixlake.runtime import broadcast_if_small, table
+from helixlake.runtime import broadcast_if_small, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,9 +185,7 @@ def write_read_back(spark: SparkSession, d: str) -> DataFrame:
     """Nation through Parquet, CSV and JSON files, counted per format."""
     import uuid
 
-    from helixlake.runtime import shared_dir
-
-    n, base = table(spark, d, "nation"), f"{shared_dir(spark).rstrip('/')}/formats-{uuid.uuid4().hex}"
+    n, base = table(spark, d, "nation"), scratch(spark, f"formats-{uuid.uuid4().hex}")
     n.write.parquet(f"{base}/p")
     n.write.option("header", True).csv(f"{base}/c")
     n.write.json(f"{base}/j")

@@ -9,14 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.runtime import shared_dir, table
+from helixlake.runtime import scratch, table
 from helixlake.sources import binary, text, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _folder(spark: SparkSession, ending: str = "") -> str:
-    return f"{shared_dir(spark).rstrip('/')}/trip-{uuid.uuid4().hex}{ending}"
+    return scratch(spark, f"trip-{uuid.uuid4().hex}{ending}")
 
 
 def _lines(df: DataFrame, columns: list[Column], header: list[str] | None = None) -> str:

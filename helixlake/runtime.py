@@ -48,6 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: the plan is run once, written to the shared folder and read from there."""
     sc = df.sparkSession.sparkContext
@@ -61,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, as a compressed columnar table: for frames of which later steps read some columns only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/helixlake-{uuid.uuid4().hex}"
+    path = scratch(spark, f"helixlake-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

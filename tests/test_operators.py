@@ -90,6 +90,12 @@ def test_interval_join(spark, mode):
     hit = (lambda x, y: x[2] <= y[3] and y[2] <= x[3]) if mode == "overlaps" else (lambda x, y: x[2] <= y[2] and x[3] >= y[3])
     want = sorted((x[1], y[1]) for x in a for y in b if y[0] == x[0] and y[3] is not None and y[2] <= y[3] and hit(x, y))
     assert sorted(map(tuple, interval_join(left, right, "k", ("s", "e"), ("u", "v"), mode, 16).select("i", "j").collect())) == want
+    # Lengths of every level, one as long as all positions.
+    a = [("hot", i, s := rng.randrange(10**6), s + int(10 ** rng.uniform(0, 7))) for i in range(80)] + [("hot", 80, 0, 10**9)]
+    b = [("hot", i, s := rng.randrange(10**6), s + int(10 ** rng.uniform(0, 7))) for i in range(80)] + [("hot", 80, 5, 5), ("hot", 81, -9, 10**9)]
+    left, right = spark.createDataFrame(a, "k string, i int, s long, e long"), spark.createDataFrame(b, "k string, j int, u long, v long")
+    want = sorted((x[1], y[1]) for x in a for y in b if hit(x, y))
+    assert sorted(map(tuple, interval_join(left, right, "k", ("s", "e"), ("u", "v"), mode, 16).select("i", "j").collect())) == want
     with pytest.raises(ValueError, match="mode"):
         interval_join(left, right, "k", ("s", "e"), ("u", "v"), "near")
 
