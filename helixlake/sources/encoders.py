@@ -51,13 +51,19 @@ def reg2bin(start: int, end: int) -> int:
 def index_body(spans, n_ref: int) -> bytes:
     """``spans``: (ref, start, end, voffset, voffset after), half-open from 0."""
     out = b""
+    own: list[list] = [[] for _ in range(n_ref)]
+    for ref, *span in spans:
+        own[ref].append(span)
     for ref in range(n_ref):
         bins, linear = {}, {}
-        for r, s, e, a, b in spans:
-            if r == ref:
-                bins.setdefault(reg2bin(s, e), []).append((a, b))
-                for w in range(s >> 14, (max(e - 1, s) >> 14) + 1):
-                    linear[w] = min(linear.get(w, a), a)
+        for s, e, a, b in own[ref]:
+            chunks = bins.setdefault(reg2bin(s, e), [])
+            if chunks and chunks[-1][1] == a:
+                chunks[-1] = (chunks[-1][0], b)
+            else:
+                chunks.append((a, b))
+            for w in range(s >> 14, (max(e - 1, s) >> 14) + 1):
+                linear[w] = min(linear.get(w, a), a)
         out += struct.pack("<i", len(bins))
         for n, cs in bins.items():
             out += struct.pack("<Ii", n, len(cs)) + b"".join(struct.pack("<QQ", *c) for c in cs)
@@ -107,7 +113,9 @@ def tabix(lines, columns=(1, 2, 0), per_block: int = 200):
         spans.append((names.index(name), start, end, at, w.tell()))
     joined = b"".join(n.encode() + b"\0" for n in names)
     body = b"TBI\x01" + struct.pack("<8i", len(names), 2, *columns, ord("#"), 0, len(joined)) + joined + index_body(spans, len(names))
-    return w.done(), block(body) + EOF
+    packed = Bgzf(1 << 40)
+    packed.write(body)
+    return w.done(), packed.done()
 
 
 def typed_ints(values) -> bytes:
