@@ -95,7 +95,7 @@ def bam_region_sql(spark: SparkSession, d: str) -> DataFrame:
 
 def bam_typed_tags(spark: SparkSession, d: str) -> DataFrame:
     b = GenomicsSession(spark).read_bam(_bam(spark, d), parse_tags=True)
-    return b.select(F.col("name").cast("long").alias("read_id"), F.col("tags.NM").alias("nm"), F.col("tags.RG").alias("rg"))
+    return b.select(F.col("name").cast("long").alias("read_id"), F.get_json_object(F.to_json("tags"), "$.NM").alias("nm"), F.get_json_object(F.to_json("tags"), "$.RG").alias("rg"))
 
 
 # ---- variants --------------------------------------------------------------------------------------------------------------------------

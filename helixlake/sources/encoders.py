@@ -58,7 +58,7 @@ def index_body(spans, n_ref: int) -> bytes:
         bins, linear = {}, {}
         for s, e, a, b in own[ref]:
             chunks = bins.setdefault(reg2bin(s, e), [])
-            if chunks and chunks[-1][1] == a:
+            if chunks and chunks[-1][1] == a and chunks[-1][0] >> 16 == a >> 16:  # within one block
                 chunks[-1] = (chunks[-1][0], b)
             else:
                 chunks.append((a, b))
