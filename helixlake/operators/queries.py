@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -175,7 +176,42 @@ w AS (SELECT spectrum_key, precursor_ix, generate_subscripts(l, 1) - 1 AS param_
 SELECT spectrum_key, CAST(precursor_ix AS INTEGER) AS precursor_ix, CAST(param_ix AS INTEGER) AS param_ix, json_extract_string(c, '$.accession') AS accession, json_extract_string(c, '$.name') AS name, json_extract_string(c, '$.value') AS "value"
 FROM w WHERE json_type(c) = 'OBJECT'"""
 )
+
+
+def _units_sql() -> str:
+    """Problem 1 by its definition: the unit is what the row states, else what the remarks state, else the target."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spelt = lambda x: f"trim(regexp_replace(replace(replace(lower(coalesce({x}, '')), 'μ', 'µ'), '.', ' '), '\\s+', ' ', 'g'))"
+    names = ", ".join(f"({quoted(d)}, {quoted(x)}, {k})" for d, us in units.DIMENSIONS.items() for k, u in enumerate(us) for x in u.spellings.split("|"))
+    accessions = ", ".join(f"({quoted(d)}, {quoted(u.accession)}, {k})" for d, us in units.DIMENSIONS.items() for k, u in enumerate(us) if u.accession)
+    # A unit counts within eight words of the quantity, none of them a number, in the same sentence.
+    near = r"(?:[ ,:()]+[^\s\d,:().;][^\s,:();]*?){0,7}?[ ,:()]+"
+    said = []
+    for name, quantity in units.QUANTITIES.items():
+        for d, us in units.DIMENSIONS.items():
+            spellings = sorted((x for u in us for x in u.spellings.split("|") if not (len(x) == 1 and x in "cfkhs")), key=lambda x: (-len(x), x))
+            pattern = f"(?:{quantity}){near}({'|'.join(map(re.escape, spellings))})(?:[\\s,;:)]|\\.(?:\\s|$)|$)"
+            said.append(f"WHEN name = {quoted(name)} AND dim = {quoted(d)} THEN {quoted(pattern)}")
+    number = r"^\s*([+\-−]?\d[\d.,]*(?:[eE][+-]?\d+)?|[+\-−]?[.,]\d+(?:[eE][+-]?\d+)?)\s*"
+    duration = r"(?i)^\s*PT(?:([\d.,]+)H)?(?:([\d.,]+)M)?(?:([\d.,]+)S)?\s*$"
+    return f"""
+WITH names(dim, spelled, ix) AS (VALUES {names}), acc(dim, accession, ix) AS (VALUES {accessions}),
+t AS (SELECT u.accession, u.name, acc.dim, acc.ix AS goal FROM unit_targets u JOIN acc ON acc.accession = u.target_unit_accession),
+r AS (SELECT run_id, t.accession, t.dim, regexp_extract(regexp_replace(replace(lower(remarks), 'μ', 'µ'), '\\s+', ' ', 'g'), CASE {' '.join(said)} ELSE '^$' END, 1) AS spelled FROM ms_runs CROSS JOIN t WHERE remarks IS NOT NULL),
+s AS (SELECT r.run_id, r.accession, min(names.ix) AS ix FROM r JOIN names ON names.dim = r.dim AND names.spelled = r.spelled GROUP BY r.run_id, r.accession),
+p AS (SELECT c.param_id, c.run_id, c.accession, t.dim, t.goal, trim(coalesce(unit_accession, '')) AS ua, {spelt('unit_name')} AS un, {spelt("regexp_extract(coalesce(c.name, ''), '[\[(]([^\[\]()]*)[\])]\s*$', 1)")} AS suffix,
+  regexp_extract(coalesce("value", ''), '{duration}', 1) AS h, regexp_extract(coalesce("value", ''), '{duration}', 2) AS m, regexp_extract(coalesce("value", ''), '{duration}', 3) AS sec,
+  replace(regexp_extract(coalesce("value", ''), '{number}', 1), '−', '-') AS digits, regexp_extract(coalesce("value", ''), '(?s){number}(.*?)\\s*$', 2) AS behind FROM cv_params c JOIN t ON t.accession = c.accession),
+q AS (SELECT *, CASE WHEN h || m || sec <> '' THEN 1.0 ELSE TRY_CAST(CASE WHEN contains(digits, ',') AND contains(digits, '.') THEN CASE WHEN strpos(reverse(digits), '.') < strpos(reverse(digits), ',') THEN replace(digits, ',', '')
+    ELSE replace(replace(digits, '.', ''), ',', '.') END ELSE replace(digits, ',', '.') END AS DOUBLE) END AS number,
+  CASE WHEN h <> '' AND m || sec = '' THEN 'h' WHEN m <> '' AND h || sec = '' THEN 'min' WHEN h || m || sec <> '' THEN 's' ELSE {spelt('behind')} END AS tail FROM p)
+SELECT param_id FROM q LEFT JOIN acc ON acc.dim = q.dim AND acc.accession = ua LEFT JOIN names a ON a.dim = q.dim AND a.spelled = un LEFT JOIN names b ON b.dim = q.dim AND b.spelled = tail LEFT JOIN names c ON c.dim = q.dim AND c.spelled = suffix
+LEFT JOIN s ON s.run_id = q.run_id AND s.accession = q.accession
+WHERE isfinite(number) AND coalesce(acc.ix, a.ix, b.ix, c.ix, CASE WHEN ua || un <> '' THEN -1 END, s.ix, goal) <> goal"""
+
+
 SQL: dict[str, str] = {
+    "p1_found": _units_sql(),
     "p5_found": _DRIFT,
     "p5_versions": f"""{_FIELDS} SELECT v.file_id, v.feed, v.file_format, v.version, coalesce(n_fields, 0) AS n_fields, coalesce(fingerprint, '') AS fingerprint, coalesce(c.n, 0) AS n_changes
         FROM v LEFT JOIN s ON s.file_id = v.file_id LEFT JOIN (SELECT file_id, count(*) AS n FROM ({_DRIFT}) GROUP BY file_id) c ON c.file_id = v.file_id""",
