@@ -5,9 +5,11 @@ of the four fields reference, start, cigar and quality are fused by Bayesian vot
 
 * a source's accuracy is the mean posterior of the values that it claims, over all groups;
 * two sources depend on each other if they share values that are held to be false more often than independent sources would; in a
-  field of a group a source is compared with the ``NEAR`` sources before it and, for each of its values, with the last source before
-  it that claims the same value, however far away; a comparison takes all their values there, and the work is linear in the claims;
-* a claim counts only with the probability that it was not copied from the last source before it that claims the same value.
+  field of a group a source is compared with every source before it, on all their values there: with the ``NEAR`` before it and the
+  last before it that claims the same value by a window (``_compared``), with the others, which only fields of more than ``NEAR + 1``
+  sources have, block by block (``_further``); the work is quadratic in the sources of such a field, as the pairs are;
+* a claim counts only with the probability that it was not copied from the likeliest origin among all sources before it that claim
+  the same value.
 
 The survivor is the record with the most present fields, the largest quality sum, the latest arrival and the smallest id, in this
 order; among records that are still equal (ids needn't be unique) the one whose values have the highest posterior.  Null names and
@@ -28,8 +30,10 @@ SECONDARY = 0x900
 ACCURACY, DEPENDENCE, COPIED = 0.8, 0.1, 0.8
 #: Number of false values that a field may take.
 FALSE_VALUES = 10
-#: Sources before a source, in each field of a group, that it is compared with whatever they claim.
+#: Sources before a source, in each field of a group, that a window compares it with whatever they claim; blocks compare it with the rest.
 NEAR = 8
+#: Sources of a block; a pair of blocks is compared by one task.
+BLOCK = 256
 FIELDS = ("reference", "start_pos", "cigar", "quality_score")
 
 
@@ -116,13 +120,15 @@ def _code(field: str) -> Column:
 
 
 def _vote(claims: DataFrame, accuracy: DataFrame | None, dependence: DataFrame | None) -> DataFrame:
-    """Posterior ``p``, and its logarithm, of every (grp, field, value) under the given accuracies and dependences."""
+    """Posterior ``p``, and its logarithm, of every (grp, field, value) under the given accuracies; ``dependence``: ``dep`` of the claims that have a source before them."""
     a = F.coalesce(F.col("accuracy"), F.lit(ACCURACY)) if accuracy is not None else F.lit(ACCURACY)
     weight = F.log(FALSE_VALUES * a / (1 - a))
-    x = claims if accuracy is None else claims.join(accuracy, "source", "left")
+    x = claims
     if dependence is not None:
-        x = x.join(dependence, ["source", "before"], "left")
-        weight = weight * (1 - COPIED * F.when(F.col("before").isNotNull(), F.coalesce("dep", F.lit(DEPENDENCE))).otherwise(0.0))
+        x = claims.where("before IS NULL").select("grp", "field", "value", "source", F.lit(0.0).alias("dep")).unionByName(dependence)
+        weight = weight * (1 - COPIED * F.col("dep"))
+    if accuracy is not None:
+        x = x.join(accuracy, "source", "left")
     score = x.groupBy("grp", "field", "value").agg(F.sum(weight).alias("score"))
     score = stored(score)
     # Relative to the field's largest score: scores grow with the number of sources and exp has no such range.
@@ -133,22 +139,44 @@ def _vote(claims: DataFrame, accuracy: DataFrame | None, dependence: DataFrame |
     return score.select("grp", "field", "value", F.exp("log_p").alias("p"), "log_p", "held")
 
 
-def _compared(votes: DataFrame) -> DataFrame:
-    """``(grp, field, source, before, shared, differ)``: compared sources, the values that both claim and the number of those that only ``source`` does.
+def _slots(votes: DataFrame) -> DataFrame:
+    """``(grp, field, source, n, values, last, at, near)``: a source's claims, the last sources before it that claim one of them, its place in the field and its neighbours.
 
     Values of a single source are only counted, so that a row is small where every record has a value of its own.
     """
-    slots = votes.groupBy("grp", "field", "source").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("claimants") > 1, F.col("value"))).alias("values"))
+    slots = votes.groupBy("grp", "field", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("claimants") > 1, F.col("value"))).alias("values"), F.collect_set("before").alias("last")
+    )
     order = Window.partitionBy("grp", "field").orderBy("source")
-    slots = stored(slots.withColumn("at", F.row_number().over(order)).withColumn("near", F.collect_list(F.struct("source", "values")).over(order.rowsBetween(-NEAR, -1))))
+    return stored(slots.withColumn("at", F.row_number().over(order)).withColumn("near", F.collect_list(F.struct("source", "values")).over(order.rowsBetween(-NEAR, -1))))
+
+
+def _pairs(x: DataFrame) -> DataFrame:
+    shared = F.array_intersect("values", "theirs")
+    return x.select("grp", "field", "source", "before", shared.alias("shared"), (F.col("n") - F.size(shared)).alias("differ"))
+
+
+def _compared(votes: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """``(grp, field, source, before, shared, differ)``: compared sources, the values that both claim and the number of those that only ``source`` does."""
+    slots = _slots(votes) if slots is None else slots
     near = slots.select("grp", "field", "source", "n", "values", F.explode("near").alias("b")).select("grp", "field", "source", "n", "values", F.col("b.source").alias("before"), F.col("b.values").alias("theirs"))
     # Only slots of more sources than NEAR have neighbours by value that are further away.
-    mine = slots.where(F.col("at") > NEAR + 1).select("grp", "field", "source", "n", "values", "at")
+    mine = slots.where(F.col("at") > NEAR + 1).select("grp", "field", "source", "n", "values", "at", F.explode("last").alias("before"))
     theirs = slots.select("grp", "field", F.col("source").alias("before"), F.col("values").alias("theirs"), F.col("at").alias("their_at"))
-    far = votes.where("before IS NOT NULL").select("grp", "field", "source", "before").distinct().join(mine, ["grp", "field", "source"]).join(theirs, ["grp", "field", "before"])
-    far = far.where(F.col("at") - F.col("their_at") > NEAR).select(near.columns)
-    shared = F.array_intersect("values", "theirs")
-    return near.unionByName(far).select("grp", "field", "source", "before", shared.alias("shared"), (F.col("n") - F.size(shared)).alias("differ"))
+    far = mine.join(theirs, ["grp", "field", "before"]).where(F.col("at") - F.col("their_at") > NEAR).select(near.columns)
+    return _pairs(near.unionByName(far))
+
+
+def _further(slots: DataFrame) -> DataFrame:
+    """All pairs of sources of a field that ``_compared`` leaves out, with its columns.  Pairs of blocks are spread over the tasks."""
+    wide = slots.where(F.col("at") == NEAR + 2).select("grp", "field")
+    blocks = slots.join(wide, ["grp", "field"], "left_semi").withColumn("block", F.floor((F.col("at") - 1) / BLOCK).cast("int")).groupBy("grp", "field", "block")
+    mine = blocks.agg(F.collect_list(F.struct("source", "n", "values", "last", "at")).alias("mine"))
+    theirs = blocks.agg(F.collect_list(F.struct("source", "values", "at")).alias("theirs")).withColumnRenamed("block", "their_block")
+    both = mine.join(theirs, ["grp", "field"]).where("their_block <= block").repartition("grp", "field", "block", "their_block")
+    rows = both.select("grp", "field", F.explode("mine").alias("a"), "theirs").select("grp", "field", "a", F.explode("theirs").alias("b"))
+    rows = rows.where((F.col("a.at") - F.col("b.at") > NEAR) & ~F.array_contains("a.last", F.col("b.source")))
+    return _pairs(rows.select("grp", "field", "a.source", "a.n", "a.values", F.col("b.source").alias("before"), F.col("b.values").alias("theirs")))
 
 
 def fuse(reads: DataFrame, source: str = "file_id", rounds: int = 2) -> DataFrame:
@@ -165,7 +193,8 @@ def fuse(reads: DataFrame, source: str = "file_id", rounds: int = 2) -> DataFram
     same = Window.partitionBy("grp", "field", "value")
     votes = claims.select("grp", "field", "value", "source").distinct()
     votes = stored(votes.withColumn("before", F.lag("source").over(same.orderBy("source"))).withColumn("claimants", F.count(F.lit(1)).over(same)))
-    compared = stored(_compared(votes))
+    slots = _slots(votes)
+    compared = stored(_compared(votes, slots).unionByName(_further(slots)))
     shared = compared.select("grp", "field", "source", "before", F.explode("shared").alias("value"))
     differ = stored(compared.groupBy("source", "before").agg(F.sum("differ").alias("differ")))
     posterior = stored(_vote(votes, None, None))
@@ -181,7 +210,8 @@ def fuse(reads: DataFrame, source: str = "file_id", rounds: int = 2) -> DataFram
         same = F.coalesce("n_true", F.lit(0)) * gain(a * b) + F.coalesce("n_false", F.lit(0)) * gain((1 - a) * (1 - b) / FALSE_VALUES)
         odds = same + F.col("differ") * F.log(F.lit(1 - COPIED)) + F.log(F.lit(DEPENDENCE / (1 - DEPENDENCE)))
         dependence = both.select("source", "before", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(50.0)), F.lit(-50.0))))).alias("dep"))
-        posterior = stored(_vote(votes, accuracy, stored(dependence)))
+        dependence = shared.join(stored(dependence), ["source", "before"]).groupBy("grp", "field", "value", "source").agg(F.max("dep").alias("dep"))
+        posterior = stored(_vote(votes, accuracy, dependence))
     agreed = claims.join(posterior.select("grp", "field", "value", "log_p"), ["grp", "field", "value"]).groupBy("read_id", "grp").agg(F.sum("log_p").alias("agreement"))
     top = posterior.where("held").groupBy("grp").agg(
         *[F.max(F.when(F.col("field") == k, F.col("value"))).alias(f"{f}_v") for k, f in enumerate(FIELDS)],

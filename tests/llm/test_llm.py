@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 import re
 from datetime import datetime
@@ -143,6 +144,66 @@ def test_sources_are_compared_on_all_values(spark):
     assert len(many) == len(set(many)) <= 32 * (fusion.NEAR + 1)
 
 
+def brute_posterior(claims, code, rounds=2):
+    """{(grp, value): p} of claims {grp: {source: value}}: every source against every one before it."""
+    acc, dep = {}, {}
+    for k in range(rounds + 1):
+        p, held = {}, {}
+        for g, by in claims.items():
+            score = {}
+            for s, v in by.items():
+                a = acc.get(s, fusion.ACCURACY)
+                origin = max((dep[s, b] for b in by if b < s and by[b] == v), default=0.0) if k else 0.0
+                score[v] = score.get(v, 0.0) + math.log(fusion.FALSE_VALUES * a / (1 - a)) * (1 - fusion.COPIED * origin)
+            top = max(score.values())
+            total = sum(math.exp(x - top) for x in score.values())
+            p |= {(g, v): math.exp(x - top) / total for v, x in score.items()}
+            held[g] = max(score, key=lambda v: (score[v], code[v]))
+        if k == rounds:
+            return p
+        said = {}
+        for g, by in claims.items():
+            for s, v in by.items():
+                said.setdefault(s, []).append(p[g, v])
+        acc = {s: min(max((sum(x) + 2 * fusion.ACCURACY) / (len(x) + 2), 0.05), 0.99) for s, x in said.items()}
+        odds = {}
+        for g, by in claims.items():
+            for s in by:
+                for b in by:
+                    if b < s:
+                        a, o = acc[s], acc[b]
+                        q = a * o if by[s] == held[g] else (1 - a) * (1 - o) / fusion.FALSE_VALUES
+                        step = math.log((fusion.COPIED + (1 - fusion.COPIED) * q) / q) if by[s] == by[b] else math.log(1 - fusion.COPIED)
+                        odds[s, b] = odds.get((s, b), math.log(fusion.DEPENDENCE / (1 - fusion.DEPENDENCE))) + step
+        dep = {sb: 1 / (1 + math.exp(-x)) for sb, x in odds.items()}
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_every_pair_of_sources_is_compared(spark, monkeypatch, block):
+    """Fields of more sources than the window holds: posteriors are those of all pairs, and no pair is taken twice."""
+    monkeypatch.setattr(fusion, "BLOCK", block)
+    rng, cigars = random.Random(3), ["8M", "9M", "10M", "11M"]
+    claims = {}
+    for g in range(10):
+        by = {f"{s}": rng.choices(cigars, [6, 2, 1, 1])[0] for s in range(10, 34) if rng.random() < 0.9}
+        # The last source copies the first, over which others stand that claim the same by themselves.
+        claims[f"g{g}"] = by | ({"33": by["10"]} if "10" in by else {})
+    code = {c: spark.range(1).select(F.xxhash64(F.lit(c))).first()[0] for c in cigars}
+    data = [(100 * g + int(s), int(s), name, 0, None, None, c, None, None) for g, (name, by) in enumerate(claims.items()) for s, c in by.items()]
+    want = brute_posterior(claims, code)
+    got = {r.grp.split(":")[-1].split("|")[0]: r for r in fusion.fuse(reads_frame(spark, data)).collect()}
+    assert got.keys() == claims.keys()
+    for g, r in got.items():
+        assert r.cigar_p == pytest.approx(want[g, r.cigar], rel=1e-9) and r.cigar_p == pytest.approx(max(want[g, c] for c in set(claims[g].values())), rel=1e-9)
+    votes = spark.createDataFrame([("g", f"s{i:02}", f"v{i % 3}") for i in range(40)], "grp string, source string, value string").withColumn("field", F.lit("cigar"))
+    same = fusion.Window.partitionBy("grp", "field", "value")
+    votes = votes.withColumn("before", F.lag("source").over(same.orderBy("source"))).withColumn("claimants", F.count("value").over(same))
+    slots = fusion._slots(votes)
+    pairs = [(r.source, r.before, r.shared, r.differ) for r in fusion._compared(votes, slots).unionByName(fusion._further(slots)).collect()]
+    every = [(i, j) for i in range(40) for j in range(i)]
+    assert sorted(pairs) == sorted((f"s{i:02}", f"s{j:02}", [f"v{i % 3}"] if i % 3 == j % 3 else [], int(i % 3 != j % 3)) for i, j in every)
+
+
 def test_many_votes_do_not_saturate(spark):
     claims = [("g", "cigar", v, f"{v}{i}", None) for v, n in (("x", 900), ("y", 400), ("z", 90)) for i in range(n)]
     got = {r.value: r for r in fusion._vote(spark.createDataFrame(claims, "grp string, field string, value string, source string, before string"), None, None).collect()}
