@@ -449,6 +449,40 @@ def test_held_out_labels():
     assert not any(abuse.Model(TERMS[:3], []).score(d.text)[0] >= abuse.THRESHOLD for _, d in docs[450:])
 
 
+def test_every_label_counts(spark):
+    """A phrase that only the labelled documents of greatest hash hold is learned, however many others there are."""
+    n = 12_060
+    ids = [r.id for r in spark.range(n).orderBy(F.xxhash64("id"), "id").collect()]
+    last = set(ids[12_000:])
+    docs = [(i, _mail(i, f"Go boil your head, number {i}." if i in last else f"Row {i} is done.").text, "s") for i in range(n)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i, "r", "abusive" if i in last else "none") for i in range(n)], "label_id long, doc_id long, reviewer string, category string")
+    terms = spark.createDataFrame(TERMS, "term string, category string")
+    got = [tuple(r) for r in abuse.found(d, labels, terms).collect()]
+    assert sorted(got) == [(i, "abusive") for i in sorted(last)]
+
+
+def test_driver_and_cluster_fit_the_same_model(spark):
+    rng = random.Random(8)
+    say = ["Go boil your head", "You 1d!ot, leave", "The Drell are vermin", "Send me naked pictures", "Do you see the idiot light", "All is well", "Warm greetings, Xo Yan"]
+    docs = [(i, rng.choice(["", "Subject: s\n\n", f"From: w{i % 7}@a.example\nSubject: a\n\n"]) + " ".join(f"{x}, {rng.randrange(9)}." for x in rng.sample(say, rng.randrange(4))), "s") for i in range(300)]
+    docs += [(300, None, "s"), (301, "", "s"), (7, docs[7][1], "s")]
+    labels = []
+    for i, text, _ in docs[:302]:
+        named = [c for c, x in zip(("abusive", "abusive", "hateful", "sexual"), say) if x in (text or "") and rng.random() < 0.9] or ["none"]
+        labels += [(len(labels), i, rng.choice(["a", "b", None]), c) for c in named]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    frames = d, spark.createDataFrame(labels, "label_id long, doc_id long, reviewer string, category string"), spark.createDataFrame(TERMS, "term string, category string")
+    here, there = abuse.fit(*frames), abuse.fit(*frames, on_driver=0)
+    assert here.weights.keys() == there.weights.keys() and len(here.weights) > 30
+    assert all(here.weights[g] == pytest.approx(there.weights[g], abs=1e-6) for g in here.weights)
+    for part in ("common", "suspects", "starts", "heads"):
+        assert getattr(here, part) == getattr(there, part), part
+    assert here.restorer.lexicon == there.restorer.lexicon and here.restorer.pairs == there.restorer.pairs
+    nothing = abuse.fit(frames[0], frames[1].where("false"), frames[2], on_driver=-1)
+    assert nothing.weights == abuse.Model(TERMS[:3], []).weights
+
+
 def test_abuse_frames(spark):
     long = "Subject: l\n\n" + "The plates are fine. " * 20_000 + "You stupid idiot."
     docs = [(1, "Subject: a\n\nYou stupid idiot.", "s"), (2, None, "s"), (6, "I want you naked", "s"), (3, "", None), (4, "fine", None), (5, long, "t"), (5, long, "t"), (None, "I will kill you", "t")]
